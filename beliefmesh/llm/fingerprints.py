@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs, with DataFrame functions only.
 
-A paragraph is a line, cut into pieces of at most 96 code points; its digest is xxhash64. A sketch has three parts of
+A paragraph is a line, cut into pieces of at most 128 code points; its digest is xxhash64. A sketch has three parts of
 equal size; a digest is added to one cell of each part, and a cell holds the number of digests added and the xor of
 the digests and of their checks. Sketches subtract cell by cell; a cell of the difference with one digest (the check
 tells) yields it, and taking it out of its other cells frees more, until the difference is empty: the digests that only
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from beliefmesh.llm.common import pick
 
-PIECE = 96
+PIECE = 128
 PART = 4  # cells in each of the three parts of the fingerprint
 SLICE = 8  # digests in a slice of a retry
-RETRY_PARTS = (10, 30)
+RETRY_PARTS = (8, 24)
 SLICES_OF_IDS = 1024
 
 
@@ -49,9 +49,9 @@ def sketch(digest_array: str, part: int) -> str:
     """SQL: the cells (c, k, h) of a sketch: count, xor of digests, xor of their checks."""
     placed = f"transform({digest_array}, d -> named_struct('d', d, 'h', xxhash64(d, 17), 'at', {spots('d', part)}))"
     # the digests are placed once, in a one-element array, and read by every cell
-    return f"""flatten(transform(array({placed}), ps -> transform(sequence(0, {3 * part - 1}), i -> aggregate(ps,
+    return f"""flatten(transform(array({placed}), ps -> transform(sequence(0, {3 * part - 1}), i -> aggregate(filter(ps, p -> p.at[i div {part}] = i),
         named_struct('c', 0L, 'k', 0L, 'h', 0L),
-        (a, p) -> if(p.at[i div {part}] = i, named_struct('c', a.c + 1L, 'k', a.k ^ p.d, 'h', a.h ^ p.h), a)))))"""
+        (a, p) -> named_struct('c', a.c + 1L, 'k', a.k ^ p.d, 'h', a.h ^ p.h)))))"""
 
 
 def subtract(a: str, b: str) -> str:
@@ -62,11 +62,11 @@ def peel(cells: str, part: int, rounds: int = 12) -> str:
     """SQL: the digests that differ, null if cells are left. All pure cells of a round are taken out together."""
     pure = "array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 and c.h = xxhash64(c.k, 17)), c -> named_struct('d', c.k, 'c', c.c)))"
     placed = f"transform({pure}, p -> named_struct('d', p.d, 'c', p.c, 'h', xxhash64(p.d, 17), 'at', {spots('p.d', part)}))"
-    step = f"""aggregate(array({placed}), s, (t, ps) -> if(size(ps) = 0, t, named_struct(
-        'cells', transform(t.cells, (c, i) -> aggregate(ps, c, (a, p) -> if(p.at[i div {part}] = i, named_struct('c', a.c - p.c, 'k', a.k ^ p.d, 'h', a.h ^ p.h), a))),
-        'found', concat(t.found, transform(ps, p -> p.d)))))"""
-    return f"""aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'found', cast(array() as array<bigint>)),
-        (s, r) -> {step},
+    step = f"""aggregate(array({placed}), s, (t, ps) -> if(size(ps) = 0, named_struct('cells', t.cells, 'found', t.found, 'go', false), named_struct(
+        'cells', transform(t.cells, (c, i) -> if(c.c = 0 and c.h = 0, c, aggregate(filter(ps, p -> p.at[i div {part}] = i), c, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.d, 'h', a.h ^ p.h)))),
+        'found', concat(t.found, transform(ps, p -> p.d)), 'go', true)))"""
+    return f"""aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'found', cast(array() as array<bigint>), 'go', true),
+        (s, r) -> if(s.go, {step}, s),
         s -> if(forall(s.cells, c -> c.c = 0 and c.k = 0 and c.h = 0), s.found, null))"""
 
 
