@@ -1,0 +1,131 @@
+"""Text functions: normal form, digest, numerals, units, sentence ends, citation keys."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from decimal import Decimal, InvalidOperation
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+
+def normalise(text: str | None) -> str | None:
+    return None if text is None else " ".join(unicodedata.normalize("NFC", text).split())
+
+
+@F.pandas_udf(StringType())
+def normalise_text(s: pd.Series) -> pd.Series:
+    """NFC, runs of white space as one space, trimmed; null stays null."""
+    return s.map(normalise, na_action="ignore")
+
+
+def text_digest(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(normalise_text(text), 256))
+
+
+def file_digest(data: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(data, 256))
+
+
+NUMERAL = re.compile(r"(?<![\w.])[-−+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-−+]?\d+)?\s?%?")
+
+
+def numerals_of(text: str | None) -> list[float]:
+    """The distinct values of a text's numerals: grouped thousands, exponents, per cent, Unicode minus."""
+    out = set()
+    for m in NUMERAL.findall(text or ""):
+        raw = m.replace("−", "-").replace(",", "").strip()
+        share = raw.endswith("%")
+        try:
+            value = Decimal(raw.rstrip("% "))
+        except InvalidOperation:
+            continue
+        out.add(float(value / 100 if share else value))
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def numerals(s: pd.Series) -> pd.Series:
+    return s.map(numerals_of)
+
+
+def has_numeral(text: Column, value: Column) -> Column:
+    return F.array_contains(numerals(text), value)
+
+
+def has_unit(text: Column, unit: Column) -> Column:
+    """The unit stands as a token of its own."""
+    return F.rlike(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), unit, F.lit(r"\E(?![\p{L}\p{N}_])")))
+
+
+def has_eqref(text: Column, label: Column) -> Column:
+    forms = [F.concat(F.lit(f"\\{c}{{"), label, F.lit("}")) for c in ("ref", "eqref", "cref", "Cref")] + [F.concat(F.lit("("), label, F.lit(")"))]
+    out = F.contains(text, forms[0])
+    for f in forms[1:]:
+        out = out | F.contains(text, f)
+    return out
+
+
+def chars_range(locator: Column) -> Column:
+    """Struct (first, last) of a locator's trailing chars=a-b, null without one."""
+    a, b = (F.regexp_extract(locator, r";chars=(\d+)-(\d+)$", i) for i in (1, 2))
+    return F.when(a != "", F.struct(a.cast("long").alias("first"), b.cast("long").alias("last")))
+
+
+def occurrences(text: Column, clause: Column) -> Column:
+    """Start offsets (from 0), overlapping ones included."""
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - F.length(clause)))
+    return F.filter(places, lambda i: F.substring(text, i + 1, F.length(clause)) == clause)
+
+
+def citation_keys(citation: Column) -> Column:
+    """`1-3, 5` as keys; ranges of over 500 keep their ends only."""
+    parts = F.transform(F.split(citation, ","), F.trim)
+
+    def expand(p: Column) -> Column:
+        a, b = (F.regexp_extract(p, r"^(\d+)\s*[-–]\s*(\d+)$", i).try_cast("int") for i in (1, 2))
+        run = F.transform(F.sequence(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))), lambda i: i.cast("string"))
+        return F.when(a.isNull() | b.isNull() | (b < a), F.array(p)).when(b - a > 500, F.array(a.cast("string"), b.cast("string"))).otherwise(run)
+
+    return F.filter(F.array_distinct(F.flatten(F.transform(parts, expand))), lambda k: k != "")
+
+
+# fixed values: powers of (m, kg, s, A, K, mol, cd) of named units
+UNITS = {
+    "m": (1, 0, 0, 0, 0, 0, 0), "kg": (0, 1, 0, 0, 0, 0, 0), "g": (0, 1, 0, 0, 0, 0, 0), "s": (0, 0, 1, 0, 0, 0, 0), "A": (0, 0, 0, 1, 0, 0, 0),
+    "K": (0, 0, 0, 0, 1, 0, 0), "mol": (0, 0, 0, 0, 0, 1, 0), "cd": (0, 0, 0, 0, 0, 0, 1), "Hz": (0, 0, -1, 0, 0, 0, 0), "N": (1, 1, -2, 0, 0, 0, 0),
+    "Pa": (-1, 1, -2, 0, 0, 0, 0), "J": (2, 1, -2, 0, 0, 0, 0), "W": (2, 1, -3, 0, 0, 0, 0), "C": (0, 0, 1, 1, 0, 0, 0), "V": (2, 1, -3, -1, 0, 0, 0),
+}
+
+
+def unit_dimension(unit: Column) -> Column:
+    """Seven SI powers of a product such as `kg m^2/s^2`; null for an unknown unit. A slash turns the sign of what follows."""
+    table = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+    zero = F.array(*[F.lit(0)] * 7)
+    parts = F.split(unit, "/")
+
+    def powers(part: Column, sign: Column) -> Column:
+        def one(t: Column) -> Column:
+            name = F.regexp_extract(t, r"^([A-Za-z]+)", 1)
+            power = F.coalesce(F.regexp_extract(t, r"\^?(-?\d+)$", 1).try_cast("int"), F.lit(1)) * sign
+            return F.transform(table[name], lambda x: x * power)
+
+        terms = F.filter(F.split(part, r"[\s·*]+"), lambda t: (t != "") & (t != "1"))
+        return F.aggregate(F.transform(terms, one), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+    each = F.transform(parts, lambda p, i: powers(p, F.when(i == 0, F.lit(1)).otherwise(F.lit(-1))))
+    return F.aggregate(each, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+
+def intersection(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Closed intervals; a null end is open."""
+    return F.struct(F.greatest(lo1, lo2).alias("lo"), F.least(hi1, hi2).alias("hi"))
+
+
+def contains_interval(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Whether the first interval holds the second."""
+    low = lo1.isNull() | F.coalesce(lo2 >= lo1, F.lit(False))
+    return low & (hi1.isNull() | F.coalesce(hi2 <= hi1, F.lit(False)))
