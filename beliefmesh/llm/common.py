@@ -73,9 +73,17 @@ def worker_state(name: str) -> dict:
     return box.__dict__.setdefault(name, {})
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """The `rows` rows with the smallest hash of key: a sample that does not depend on partitioning."""
-    return df.withColumn("__k", F.xxhash64(key)).orderBy("__k", key).limit(rows).drop("__k")
+def bounded_sample(df: DataFrame, key: Column, rows: int, of: DataFrame | None = None) -> DataFrame:
+    """The `rows` rows with the smallest hash of key: a sample that does not depend on partitioning.
+
+    Rows whose hash lies far beyond the bound are left out before the sort, so that about 4 * rows rows meet in it,
+    not rows of each partition. The bound follows from the number of rows of `of` (default: df), so the sample may be
+    smaller where df is under a quarter of `of`."""
+    n = (df if of is None else of).count()
+    keyed = df.withColumn("__k", F.pmod(F.xxhash64(key), F.lit(HASH_SPAN)))
+    if n > 8 * rows:
+        keyed = keyed.where(F.col("__k") < int(HASH_SPAN * 4 * rows / n))
+    return keyed.orderBy("__k", key).limit(rows).drop("__k")
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -123,7 +123,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = 2) -> di
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     room = F.greatest(F.lit(1), F.length("text") - LENGTH + 2)
     places = F.array(*[F.expr("text").substr((F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(LENGTH)) for k in range(windows)])
-    got = bounded_sample(labelled.select("doc_id", "lang", places.alias("places")), F.col("doc_id"), sample_docs).toPandas()
+    got = bounded_sample(labelled.select("doc_id", "lang", places.alias("places")), F.col("doc_id"), sample_docs, of=docs).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     rows = [(t.encode()[:LENGTH], lang) for lang, places in zip(got["lang"], got["places"], strict=True) for t in dict.fromkeys(places) if re.search(r"[^\W\d_]", t)]
     return train([t for t, _ in rows], [x for _, x in rows])

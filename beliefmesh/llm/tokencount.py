@@ -4,8 +4,9 @@
    frequent ones (the `frequent` most common in a bounded sample of `sample_docs` texts, counted by the library; sent
    with the task, so bounded by that parameter) are looked up and summed there and then: a hash join. The rest, rare
    ones, stay with the document as (pre-token, frequency).
-2. The distinct rare pre-tokens of all documents are counted by the library once each, joined back to the frequencies,
-   and summed per document. A rare pre-token is in few documents, so the join has no hot key: common ones are in the
+2. The frequencies of rare pre-tokens are dealt and sorted by pre-token, where each distinct one is counted by the
+   library once and joined to its run of frequencies as it passes (a merge join with one shuffle); the products are
+   summed per document. A rare pre-token is in few documents, so the join has no hot key: common ones are in the
    table, and those that a sample missed are pre-aggregated per document.
 
 The table of frequent pre-tokens sets the cost only; results don't depend on it. Texts with special strings or unusual
@@ -29,9 +30,9 @@ from beliefmesh.llm.common import bounded_sample, materialise, pick, worker_stat
 from beliefmesh.llm.tokens import BYTE_PIECES, is_plain, load, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-SAMPLE_DOCS = 2000
-FREQUENT = 40000
-LONGEST = 200  # longer pre-tokens are not put in tables
+SAMPLE_DOCS = 8000
+FREQUENT = 250_000
+LONGEST = 400  # longer pre-tokens are not put in tables
 
 
 def tokenizer(path: str):
@@ -52,7 +53,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int, frequent: int)
             c = Counter(p for t in b["text"] if t and is_plain(t) for p in pieces(t) if len(p) <= LONGEST)
             yield pd.DataFrame({"piece": list(c.keys()), "n": list(c.values())})
 
-    sample = bounded_sample(pick(docs, "doc_id", "text"), F.col("doc_id"), sample_docs)
+    sample = bounded_sample(pick(docs, "doc_id", "text"), F.col("doc_id"), sample_docs, of=docs)
     counted = sample.repartition(8).mapInPandas(split, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     words = [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
     return dict(zip(words, count_pieces(path, words), strict=True)) if words else {}
@@ -94,12 +95,19 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
     parts = materialise_ids(parts)
     rare = parts.where("pieces is not null").select("row", F.explode(F.arrays_zip("pieces", "times")).alias("x")).select("row", "x.pieces", "x.times").withColumnRenamed("pieces", "piece").withColumnRenamed("times", "f")
 
-    def pieces_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(k=count_pieces(path, b["piece"].tolist()))
-
-    counted = rare.select("piece").distinct().mapInPandas(pieces_once, "piece string, k int")
-    sums = rare.join(counted, "piece").groupBy("row").agg(F.sum(F.col("f").cast("long") * F.col("k")).alias("more"))
+    def times_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, k = None, 0
+        for b in batches:  # equal pre-tokens follow each other: each is counted once
+            new = b["piece"].drop_duplicates()
+            counts = dict(zip(new, count_pieces(path, new.tolist()) if last is None or new.iloc[0] != last else [k, *count_pieces(path, new.tolist()[1:])], strict=True)) if len(new) else {}
+            if len(new):
+                last = new.iloc[-1]
+                k = counts[last]
+            yield pd.DataFrame({"row": b["row"], "n": b["f"] * b["piece"].map(counts)})
+
+    # frequencies and counts meet by pre-token in one shuffle
+    met = rare.repartition("piece").sortWithinPartitions("piece").mapInPandas(times_pieces, "row long, n long")
+    sums = met.groupBy("row").agg(F.sum("n").alias("more"))
     n = F.col("base") + F.coalesce("more", F.lit(0))
     return parts.drop("pieces", "times").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
