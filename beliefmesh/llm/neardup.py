@@ -1,12 +1,13 @@
 """MinHash near-duplicate detection, verified by odd sketches and then on full shingle sets.
 
 1. Every whole text gives its set of word shingles (as 64-bit hashes), `samples` MinHash values of the set, the keys of
-   25 bands of 5 values, and an odd sketch: every (place, value) of the MinHash flips one bit of a 384-bit map, so that
+   25 bands of 5 values, and an odd sketch: every (place, value) of the MinHash flips one bit of a 1536-bit map, so that
    the xor of two maps has as many ones as the samples differ, less collisions. Equal sets become one class, named by
    its smallest id; only class representatives go on.
-2. Stars: in each band bucket every class is paired with the bucket's smallest. Pairs whose odd sketches differ too
-   much are dropped (5.5 standard deviations beyond what the threshold allows), the rest is confirmed on full sets.
-   Components of the confirmed links follow from alternating large-star and small-star steps.
+2. Stars: every class is paired with the smallest class of its band buckets, then with the smallest of each bucket where
+   that is in another component still. Pairs whose odd sketches differ too much are dropped (4.5 standard deviations
+   beyond what the threshold allows), the rest is confirmed on full sets. Components of the confirmed links follow from
+   alternating large-star and small-star steps.
 3. The rest: only pairs of a bucket that lie in different components can still matter. They are compared by odd sketch
    within the bucket, confirmed on full sets, and joined to the components. So a large group of near copies costs
    about one pair a member, and no link between different components is lost.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from beliefmesh.llm.common import materialise, pick, worker_state
 
-BANDS, ROWS, SAMPLES, BITS = 25, 5, 192, 384
+BANDS, ROWS, SAMPLES, BITS = 25, 5, 768, 1536
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KNOWN = 400_000  # words whose hash a worker keeps
 
@@ -73,8 +74,8 @@ class Hashing:
     def samples(self, s: np.ndarray) -> np.ndarray:
         x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
         low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(x), 4096):
-            low = np.minimum(low, (self.a * x[i : i + 4096] + self.b).min(1))
+        for i in range(0, len(x), 1024):
+            low = np.minimum(low, (self.a * x[i : i + 1024] + self.b).min(1))
         return low
 
     def bands(self, low: np.ndarray) -> np.ndarray:
@@ -89,10 +90,10 @@ class Hashing:
 
 
 def odd_limit(percent: int) -> int:
-    """Most differing bits of two odd sketches at similarity `percent` / 100, 5.5 standard deviations included."""
+    """Most differing bits of two odd sketches at similarity `percent` / 100, 4.5 standard deviations included."""
     differ = SAMPLES * (1 - percent / 100)
     shift = lambda d: BITS / 2 * (1 - math.exp(-4 * d / BITS))
-    return math.ceil(shift(differ + 5.5 * math.sqrt(differ * percent / 100)) + 2)
+    return math.ceil(shift(differ + 4.5 * math.sqrt(differ * percent / 100)) + 2)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -116,23 +117,38 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, cls string, bands array<long>, odd array<long>")
 
 
+FILTER_BITS = (1 << 25) - 39  # a prime
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, set: the shingle sets of the documents named in ids(id)."""
+    """id, set: the shingle sets of the documents named in ids(id).
+
+    A bitmap of FILTER_BITS places (4 MB, whatever the number of ids) goes to the scan of the texts, so that about only
+    the named documents' sets are shuffled to the exact semi-join; a full bitmap would only let more sets through.
+    """
+    words = ids.selectExpr(f"cast(pmod(id, {FILTER_BITS}) div 64 as int) as w", f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)) as b")
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64 + 1, np.int64)
+    bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.iloc[at : at + 1000]
+            at = np.mod(whole["id"].to_numpy(np.int64), FILTER_BITS)
+            named = whole[(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)) == 1]
+            for i in range(0, len(named), 1000):
+                b = named.iloc[i : i + 1000]
                 yield pd.DataFrame({"id": b["id"], "set": [shingles(t, size).view(np.int64) for t in b["text"]]})
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.mapInPandas(run, "id long, set array<long>")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    return texts.mapInPandas(run, "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     pairs = materialise(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialise(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct())
     sets = materialise(full_sets(docs, ids, size))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
@@ -156,6 +172,19 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(small.distinct())
 
 
+def confirm_roots(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components: (ra, rb) of the pairs (a, b, ra, rb) that full sets confirm."""
+    good = confirm(docs, pairs.select("a", "b"), size, percent)
+    return good.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def merged_roots(classes: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """known(node, root) after its components are joined by links between roots."""
+    top = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rows = classes.select(F.col("rep").alias("node")).distinct().join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sig = materialise(signatures(docs, size))
@@ -167,22 +196,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     info = classes.select("rep", "n", "odd")
     near = " + ".join(f"bit_count(o1[{i}] ^ o2[{i}])" for i in range(BITS // 64)) + f" <= {odd_limit(percent)} and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}"
     tell = lambda name, k: info.select(F.col("rep").alias(name), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
-    stars = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    close = stars.join(tell("b", 2), "b").join(tell("a", 1), "a").where(near).select("a", "b")
-    first = materialise(components(confirm(docs, close, size, percent)))
+    close = lambda pairs: pairs.join(tell("b", 2), "b").join(tell("a", 1), "a").where(near)
+    # one pair a class: with the smallest of its centres
+    stars = members.groupBy("rep").agg(F.min("centre").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
+    first = materialise(components(confirm(docs, close(stars).select("a", "b"), size, percent)))
+    # then with the other centres of its buckets, where they are in another component still
+    rooted = lambda df, name, root: df.join(first.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
+    others = rooted(rooted(members.where("rep != centre").select("rep", "centre").distinct(), "rep", "ra"), "centre", "rb").where("ra != rb")
+    others = materialise(others.select(F.col("centre").alias("a"), F.col("rep").alias("b"), "ra", "rb").distinct())
+    first = materialise(merged_roots(classes, first, confirm_roots(docs, close(others), size, percent)))
     # what is left: buckets whose members lie in different components
     placed = members.select("band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = materialise(placed)
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_rows = materialise(placed.join(split, "band").join(info, "rep"))
-    one = open_rows.select("band", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n1"), F.col("odd").alias("o1"))
-    two = open_rows.select("band", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n2"), F.col("odd").alias("o2"))
-    rest = one.join(two, "band").where("ra < rb").where(near).select("a", "b", "ra", "rb").distinct()
-    rest = materialise(rest)
-    good = confirm(docs, rest.select("a", "b"), size, percent).join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    second = components(good)
-    merged = classes.select("cls", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    merged = merged.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("cls", F.coalesce("top", "root").alias("top"))
+    open_rows = placed.join(split, "band").join(classes.select("rep", "n", "odd", "bands"), "rep")
+    open_rows = materialise(open_rows.withColumn("i", F.expr("cast(array_position(bands, band) as int)")))
+    one = open_rows.select("band", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n1"), F.col("odd").alias("o1"), "i", F.col("bands").alias("k1"))
+    two = open_rows.select("band", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n2"), F.col("odd").alias("o2"), F.col("bands").alias("k2"))
+    # each pair once: in the first band that both share
+    once = "not arrays_overlap(slice(k1, 1, i - 1), slice(k2, 1, i - 1))"
+    rest = one.join(two, "band").where("ra < rb").where(near).where(once).select("a", "b", "ra", "rb").distinct()
+    last = merged_roots(classes, first, confirm_roots(docs, materialise(rest), size, percent))
+    merged = classes.select("cls", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("root", "rep").alias("top"))
     out = sig.select("doc_id", "n_shingles", "cls").join(merged, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
