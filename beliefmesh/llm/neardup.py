@@ -36,7 +36,7 @@ from beliefmesh.llm.common import materialise, pick, worker_state
 
 BANDS, ROWS, SAMPLES, BITS = 25, 5, 768, 1536
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-KNOWN = 400_000  # words whose hash a worker keeps
+KNOWN = 150_000  # words whose hash a worker keeps
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:

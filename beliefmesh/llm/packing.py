@@ -31,7 +31,7 @@ from beliefmesh.llm.tokens import WORD_PIECES, is_plain, load, vocabulary_path
 VOCABULARY = "word_bpe_49k.json"
 ROOM = 4096
 END = 1
-CACHE = 1_000_000  # words whose ids a worker keeps
+CACHE = 250_000  # words whose ids a worker keeps
 
 
 class Ids:
