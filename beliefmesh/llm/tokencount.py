@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int, frequent: int)
         pieces = re.compile(BYTE_PIECES).findall
         for b in batches:
             c = Counter(p for t in b["text"] if t and is_plain(t) for p in pieces(t) if len(p) <= LONGEST)
-            yield pd.DataFrame({"piece": list(c.keys()), "n": list(c.values())})
+            yield pd.DataFrame({"piece": pd.Series(list(c.keys()), dtype=object), "n": list(c.values())})
 
     sample = bounded_sample(pick(docs, "doc_id", "text"), F.col("doc_id"), sample_docs, of=docs)
     counted = sample.repartition(8).mapInPandas(split, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -88,7 +89,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
                         n += k * f
                 base.append(n)
                 rare.append(rest or None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": size, "base": base, "pieces": [None if r is None else [x for x, _ in r] for r in rare], "times": [None if r is None else [x for _, x in r] for r in rare]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": size, "base": base, "pieces": pd.Series([None if r is None else [x for x, _ in r] for r in rare], dtype=object), "times": pd.Series([None if r is None else [x for _, x in r] for r in rare], dtype=object)})
 
     parts = materialise(pick(docs, "doc_id", "text").mapInPandas(split, "doc_id long, n_bytes long, base long, pieces array<string>, times array<int>"))
     # a written table: its row numbers are the same at each reading
@@ -103,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
             if len(new):
                 last = new.iloc[-1]
                 k = counts[last]
-            yield pd.DataFrame({"row": b["row"], "n": b["f"] * b["piece"].map(counts)})
+            yield pd.DataFrame({"row": b["row"], "n": np.array([counts[p] for p in b["piece"]], np.int64) * b["f"].to_numpy(np.int64)})
 
     # frequencies and counts meet by pre-token in one shuffle
     met = rare.repartition("piece").sortWithinPartitions("piece").mapInPandas(times_pieces, "row long, n long")

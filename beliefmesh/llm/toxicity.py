@@ -53,7 +53,7 @@ def extract(rows: DataFrame, identity: list[str]) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, toxic int, words array<string>, swaps array<string>")
 
 
-def train(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], scale: np.ndarray, penalty: float = 5.0, l2: float = 1e-4, steps: int = 300, boost: float = 4.0) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], scale: np.ndarray, penalty: float = 5.0, l2: float = 1e-4, steps: int = 400, boost: float = 4.0) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on logistic loss, ridge and penalty * mean (w_a - w_b)^2 over the swaps. Weights of
     the unscaled features, and the bias."""
     n, k = x.shape
@@ -66,7 +66,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], sca
     weight = np.array([p[2] for p in pairs], np.float32)
     weight = weight / weight.sum() if len(weight) else weight
     rate = 3.0 / float((rows * ((x**2).sum(1) + 1)).sum())
-    rate = min(rate, 0.4 / penalty) if len(pairs) else rate
+    rate = min(rate, 0.4 / penalty) if len(pairs) and penalty > 0 else rate
     for _ in range(steps):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
         p = 1 / (1 + np.exp(-np.clip(x @ lw + lb, -30, 30)))
@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, n_wo
     best = by_word.where("c >= 3").withColumn("z", F.abs(F.log(p1 / p0)) / spread).orderBy(F.desc("z"), "word").limit(n_words)
     odds = {r["word"]: float(r["odds"]) for r in best.select("word", F.abs(F.log(p1 / p0)).alias("odds")).collect()}
     vocabulary = sorted({*odds, *identity})
-    scale = np.array([min(4.0, odds.get(v, 1.0)) for v in vocabulary], np.float32)
+    # identity terms keep scale 1, so that the penalty draws together plain weights
+    scale = np.array([1.0 if v in identity else min(4.0, odds[v]) for v in vocabulary], np.float32)
     column = {w: i for i, w in enumerate(vocabulary)}
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
