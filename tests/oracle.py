@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import glob
-import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir: str):
@@ -18,7 +18,7 @@ def connect(sf_dir: str):
 
 def rows(frame) -> list[tuple]:
     def plain(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if pd.isna(x):
             return "null"
         return f"{float(x):.5f}".replace("-0.00000", "0.00000") if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__module__ == "numpy" and hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
 
