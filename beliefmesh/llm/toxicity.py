@@ -66,7 +66,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], sca
     weight = np.array([p[2] for p in pairs], np.float32)
     weight = weight / weight.sum() if len(weight) else weight
     rate = 3.0 / float((rows * ((x**2).sum(1) + 1)).sum())
-    rate = min(rate, 0.4 / penalty) if len(pairs) and penalty > 0 else rate
+    rate = min(rate, 0.2 / penalty) if len(pairs) and penalty > 0 else rate
     for _ in range(steps):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
         p = 1 / (1 + np.exp(-np.clip(x @ lw + lb, -30, 30)))
