@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +77,44 @@ def worker_state(name: str) -> dict:
     return box.__dict__.setdefault(name, {})
 
 
+def forget(but: str | None = None) -> None:
+    """Drop the worker's state of other operators and give free memory back to the system."""
+    for name, state in sys.modules.get("beliefmesh_worker_state", types.ModuleType("none")).__dict__.items():
+        if isinstance(state, dict) and not name.startswith("__") and name != but:
+            state.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], state: str | None = None) -> Callable:
+    """run for mapInPandas, in a worker that keeps no other operator's state: workers outlive stages, so that else
+    the caches of all stages of a pipeline would add up in each of them."""
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget(state)
+        try:
+            yield from run(batches)
+        finally:
+            forget(state)
+
+    return inside
+
+
+#: Rows and bytes of a batch that goes to a Python worker, so that its memory doesn't follow the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches; smaller limits of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, of: DataFrame | None = None) -> DataFrame:
     """The `rows` rows with the smallest hash of key: a sample that does not depend on partitioning.
 

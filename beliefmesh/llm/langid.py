@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import bounded_sample, held_out, pick
+from beliefmesh.llm.common import bounded_sample, held_out, lean, pick, small_batches
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -151,7 +151,8 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, n_windows long"
-    return pick(docs, *carried, "text").mapInPandas(score, schema)
+    small_batches(docs.sparkSession)
+    return pick(docs, *carried, "text").mapInPandas(lean(score), schema)
 
 
 def predict(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

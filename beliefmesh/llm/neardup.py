@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import materialise, pick, worker_state
+from beliefmesh.llm.common import lean, materialise, pick, small_batches, worker_state
 
 BANDS, ROWS, SAMPLES, BITS = 25, 5, 768, 1536
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -114,7 +114,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         rows.append((0, None, None, None))
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "cls", "bands", "odd"))}})
 
-    return pick(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, cls string, bands array<long>, odd array<long>")
+    small_batches(docs.sparkSession)
+    return pick(docs, "doc_id", "text").mapInPandas(lean(run, "word hashes"), "doc_id long, n_shingles long, cls string, bands array<long>, odd array<long>")
 
 
 FILTER_BITS = (1 << 25) - 39  # a prime
@@ -142,7 +143,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pd.DataFrame({"id": b["id"], "set": [shingles(t, size).view(np.int64) for t in b["text"]]})
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return texts.mapInPandas(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    return texts.mapInPandas(lean(run, "word hashes"), "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import materialise, pick, ranked, worker_state
+from beliefmesh.llm.common import lean, materialise, pick, ranked, small_batches, worker_state
 from beliefmesh.llm.tokens import WORD_PIECES, is_plain, load, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,7 +96,8 @@ def pieces_of(docs: DataFrame, path: str, room: int, end: int) -> DataFrame:
                 frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    return pick(docs, "doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    small_batches(docs.sparkSession)
+    return pick(docs, "doc_id", "text").mapInPandas(lean(run, f"ids {path}"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import bounded_sample, held_out, materialise, pick
+from beliefmesh.llm.common import bounded_sample, held_out, lean, materialise, pick, small_batches
 
 SAMPLE_DOCS = 6000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -82,7 +82,8 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} long" for c in BASE] + [f"{c} double" for c in RATIOS])
-    return pick(docs, *[c for c in keep if c != "text"], "text").mapInPandas(run, schema)
+    small_batches(docs.sparkSession)
+    return pick(docs, *[c for c in keep if c != "text"], "text").mapInPandas(lean(run), schema)
 
 
 Condition = tuple[str, str, float]

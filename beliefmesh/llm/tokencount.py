@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import bounded_sample, materialise, pick, worker_state
+from beliefmesh.llm.common import bounded_sample, lean, materialise, pick, small_batches, worker_state
 from beliefmesh.llm.tokens import BYTE_PIECES, is_plain, load, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,7 +55,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int, frequent: int)
             yield pd.DataFrame({"piece": pd.Series(list(c.keys()), dtype=object), "n": list(c.values())})
 
     sample = bounded_sample(pick(docs, "doc_id", "text"), F.col("doc_id"), sample_docs, of=docs)
-    counted = sample.repartition(8).mapInPandas(split, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = sample.repartition(8).mapInPandas(lean(split, "tokenizers"), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     words = [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
     return dict(zip(words, count_pieces(path, words), strict=True)) if words else {}
 
@@ -64,6 +64,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) of every whole text."""
     path = path or vocabulary_path(VOCABULARY)
     spark = docs.sparkSession
+    small_batches(spark)
     table = spark.sparkContext.broadcast(frequent_table(docs, path, sample_docs, frequent))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +92,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
                 rare.append(rest or None)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": size, "base": base, "pieces": pd.Series([None if r is None else [x for x, _ in r] for r in rare], dtype=object), "times": pd.Series([None if r is None else [x for _, x in r] for r in rare], dtype=object)})
 
-    parts = materialise(pick(docs, "doc_id", "text").mapInPandas(split, "doc_id long, n_bytes long, base long, pieces array<string>, times array<int>"))
+    parts = materialise(pick(docs, "doc_id", "text").mapInPandas(lean(split, "tokenizers"), "doc_id long, n_bytes long, base long, pieces array<string>, times array<int>"))
     # a written table: its row numbers are the same at each reading
     parts = materialise_ids(parts)
     rare = parts.where("pieces is not null").select("row", F.explode(F.arrays_zip("pieces", "times")).alias("x")).select("row", "x.pieces", "x.times").withColumnRenamed("pieces", "piece").withColumnRenamed("times", "f")
@@ -107,7 +108,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
             yield pd.DataFrame({"row": b["row"], "n": np.array([counts[p] for p in b["piece"]], np.int64) * b["f"].to_numpy(np.int64)})
 
     # frequencies and counts meet by pre-token in one shuffle
-    met = rare.repartition("piece").sortWithinPartitions("piece").mapInPandas(times_pieces, "row long, n long")
+    met = rare.repartition("piece").sortWithinPartitions("piece").mapInPandas(lean(times_pieces, "tokenizers"), "row long, n long")
     sums = met.groupBy("row").agg(F.sum("n").alias("more"))
     n = F.col("base") + F.coalesce("more", F.lit(0))
     return parts.drop("pieces", "times").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

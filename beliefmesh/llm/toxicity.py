@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import bounded_sample, held_out, materialise, pick
+from beliefmesh.llm.common import bounded_sample, held_out, lean, materialise, pick, small_batches
 
 SAMPLE_DOCS = 8000
 N_WORDS = 1500
@@ -50,7 +50,7 @@ def extract(rows: DataFrame, identity: list[str]) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": [sorted(words_of(t)) for t in b["text"]], "swaps": [swaps_of(t, identity) for t in b["text"]]})
 
-    return rows.mapInPandas(run, "doc_id long, toxic int, words array<string>, swaps array<string>")
+    return rows.mapInPandas(lean(run), "doc_id long, toxic int, words array<string>, swaps array<string>")
 
 
 def train(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], scale: np.ndarray, penalty: float = 5.0, l2: float = 1e-4, steps: int = 400, boost: float = 4.0) -> tuple[np.ndarray, float]:
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, n_wo
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "at": [[column[w] for w in ws if w in column] for ws in b["words"]]})
 
-    got = rows.mapInPandas(numbers, "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInPandas(lean(numbers), "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id", kind="stable")
     pairs = rows.select(F.explode("swaps").alias("swap")).groupBy("swap").agg(F.count(F.lit(1)).alias("n")).orderBy("swap").collect()
     x = np.zeros((len(got), len(vocabulary)), np.float32)
     for i, at in enumerate(got["at"]):
@@ -123,7 +123,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             z = np.array([bias + sum(map(weights.__getitem__, sorted(known & words_of(t)))) for t in b["text"]], np.float64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -500, 500))) if model else np.zeros(len(b))})
 
-    return pick(docs, "doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return pick(docs, "doc_id", "text").mapInPandas(lean(run), "doc_id long, score double")
 
 
 def predict(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

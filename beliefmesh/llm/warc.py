@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import pick, shared_folder
+from beliefmesh.llm.common import lean, pick, shared_folder
 
 LEAST = 100
 BREAK = "\r\n\r\n"
@@ -155,7 +155,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         return out.assign(page_id=out["page_id"].astype("Int64"))
 
     lines = spark.read.option("lineSep", BREAK).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(run, RECORD)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(lean(run), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
