@@ -92,9 +92,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
                 rare.append(rest or None)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": size, "base": base, "pieces": pd.Series([None if r is None else [x for x, _ in r] for r in rare], dtype=object), "times": pd.Series([None if r is None else [x for _, x in r] for r in rare], dtype=object)})
 
-    parts = materialise(pick(docs, "doc_id", "text").mapInPandas(lean(split, "tokenizers"), "doc_id long, n_bytes long, base long, pieces array<string>, times array<int>"))
-    # a written table: its row numbers are the same at each reading
-    parts = materialise_ids(parts)
+    # numbered as it is written, so that the numbers are distinct and the same at each reading
+    split_docs = pick(docs, "doc_id", "text").mapInPandas(lean(split, "tokenizers"), "doc_id long, n_bytes long, base long, pieces array<string>, times array<int>")
+    parts = materialise(split_docs.withColumn("row", F.monotonically_increasing_id()))
     rare = parts.where("pieces is not null").select("row", F.explode(F.arrays_zip("pieces", "times")).alias("x")).select("row", "x.pieces", "x.times").withColumnRenamed("pieces", "piece").withColumnRenamed("times", "f")
 
     def times_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +113,3 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
     n = F.col("base") + F.coalesce("more", F.lit(0))
     return parts.drop("pieces", "times").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
-
-def materialise_ids(parts: DataFrame) -> DataFrame:
-    """Number the rows of a written table by file and place in the file."""
-    return parts.select("*", F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).alias("__at")).withColumn("row", F.xxhash64("__at.f", "__at.i")).drop("__at")
