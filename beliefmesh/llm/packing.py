@@ -48,9 +48,6 @@ class Ids:
 
     def learn(self, words: list[str], step: int = 200) -> None:
         known = self.words
-        if len(known) > CACHE:  # what came first is the most frequent
-            for w in list(known)[CACHE // 2 :]:
-                del known[w]
         groups = [words[i : i + step] for i in range(0, len(words), step)]
         for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -61,20 +58,20 @@ class Ids:
                 start = end
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        get = self.words.get
+        known = self.words
+        if len(known) > CACHE:  # what came first is the most frequent; nothing is dropped between the two look-ups
+            for w in list(known)[CACHE // 2 :]:
+                del known[w]
         split = [self.pieces(t.lower()) if t and is_plain(t) else None for t in texts]
-        found = [None if s is None else list(map(get, s)) for s in split]
-        new = {w for s, f in zip(split, found, strict=True) if s is not None and None in f for w, x in zip(s, f, strict=True) if x is None}
-        out = []
+        new = set().union(*[set(s).difference(known) for s in split if s])
         if new:
             self.learn(list(new))
-        for t, s, f in zip(texts, split, found, strict=True):
+        out = []
+        for t, s in zip(texts, split, strict=True):
             if s is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
-            elif None in f:
-                out.append(b"".join([x or self.words[w] for w, x in zip(s, f, strict=True)]))
             else:
-                out.append(b"".join(f))
+                out.append(b"".join(map(known.__getitem__, s)))
         return out
 
 
