@@ -14,6 +14,7 @@ both work row by row on networks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,7 +188,7 @@ def bands(networks: DataFrame, target: dict[str, bool], spread: float = 10.0, dr
         for b in batches:
             rows = []
             for g, n in zip(b["graph_id"], b["vars"], strict=True):
-                rng, net, values = np.random.default_rng([seed, abs(hash(g)) % (1 << 32)]), plain(n), []
+                rng, net, values = np.random.default_rng([seed, zlib.crc32(str(g).encode())]), plain(n), []
                 for _ in range(draws):
                     drawn = [{**v, "links": [{**x, "a": float(rng.beta(spread * x["a"], spread * (1 - x["a"]))) if 0 < x["a"] < 1 else x["a"]} for x in v["links"]]} for v in net]
                     values.append(answer(drawn, target)[0])

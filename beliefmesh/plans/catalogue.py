@@ -11,6 +11,7 @@ from beliefmesh.functions import credence, text
 from beliefmesh.operators import graphs, inference
 from beliefmesh.plans import families
 from beliefmesh.plans.families import table
+from beliefmesh.sources import graph_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -343,3 +344,19 @@ def citation_found(spark, sf_dir):
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.col("r_name").alias("quote"))
     b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).cast("int").alias("r_regionkey"))
     return b.join(r, "r_regionkey").select("item_id", F.contains(F.col("r_name"), text.normalise_text(F.col("quote"))).alias("found"))
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS graph_id, count(*) AS nodes, round(sum((1 + s_suppkey % 8) / 10.0::DOUBLE), 6) AS bases, CAST(sum(1 + s_suppkey % 5) AS DOUBLE) AS alphas, count(*) FILTER (s_suppkey % 2 = 0) AS relations FROM supplier GROUP BY s_nationkey")
+def graph_json_round_trip(spark, sf_dir):
+    """Suppliers of a nation as one JSON document, written and read again; even ones have a relation."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("graph_id"), F.col("s_suppkey").cast("long").alias("ord"))
+    null = F.lit(None).cast("double")
+    point = F.struct(((1 + F.col("ord") % 8) / F.lit(10.0)).alias("p"), null.alias("alpha"), null.alias("beta"))
+    beta = F.struct(null.alias("p"), (1 + F.col("ord") % 5).cast("double").alias("alpha"), F.lit(2.0).alias("beta"))
+    key = F.col("ord").cast("string")
+    nodes = s.select("graph_id", "ord", key.alias("id"), point.alias("base"), beta.alias("stated"))
+    relations = s.where("ord % 2 = 0").select("graph_id", "ord", F.concat(F.lit("r"), key).alias("id"), F.lit("supports").alias("type"), key.alias("source"), key.alias("target"), beta.alias("strength"))
+    nodes, relations, _ = graph_json.load(graph_json.dump(nodes, relations, "own"), "own")
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), r6(F.sum("base.p")).alias("bases"), F.sum("stated.alpha").alias("alphas"))
+    r = relations.groupBy("graph_id").agg(F.count("strength.alpha").alias("relations"))
+    return n.join(r, "graph_id", "left").fillna(0, ["relations"])
