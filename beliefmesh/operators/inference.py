@@ -14,6 +14,7 @@ both work row by row on networks.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -181,20 +182,139 @@ def eliminate(networks: DataFrame, target: dict[str, bool], given: dict[str, boo
     return networks.select("graph_id", "vars").mapInPandas(run, f"graph_id {kind}, answer double, error string")
 
 
-def bands(networks: DataFrame, target: dict[str, bool], spread: float = 10.0, draws: int = 200, seed: int = 0) -> DataFrame:
-    """graph_id, q05, q50, q95, mean_over_draws: strengths drawn from Betas of their mean and `spread` concentration."""
+# bands: the answer over draws of the Beta parameters
+
+LOWEST, HIGHEST = float(np.finfo(float).tiny), float(np.nextafter(1.0, 0.0))
+
+
+def drawn(network: list[dict], draws: int, rng: np.random.Generator) -> list[dict] | None:
+    """The network with an array of draws for each Beta parameter (`base_beta` of a variable, `a_beta` and `b_beta` of a
+    link, each from its own alpha and beta, null for a point); None if every parameter is a point."""
+    spread = False
+
+    def value(x: dict, field: str):
+        nonlocal spread
+        credence = x.get(f"{field}_beta")
+        if credence is None:
+            return x[field]
+        spread = True
+        return np.clip(rng.beta(credence["alpha"], credence["beta"], size=draws), LOWEST, HIGHEST)
+
+    out = []
+    for v in network:
+        base = value(v, "base")
+        out.append({"name": v["name"], "base": base, "links": [{"parent": x["parent"], "type": x["type"], "a": value(x, "a"), "b": value(x, "b")} for x in v["links"]]})
+    return out if spread else None
+
+
+def gates(v: int, var: dict, hidden: int) -> list[tuple[list[int], np.ndarray]]:
+    """Factors of one variable over draws, the last axis. Its table is a sum of products over its parents, so each
+    parent has a factor of its own with the hidden variable that numbers the products: no table grows with 2^parents.
+
+    P(X = 1) = N I - (1 - base) N S I, P(X = 0) = 1 - N I + (1 - base) N S I; products 0: N I, 1: N S I, 2: 1.
+    """
+    links = var["links"]
+
+    def filled(shape: tuple[int, ...], *entries) -> np.ndarray:
+        t = np.empty((len(entries), max(np.size(x) for x in entries)))
+        for i, x in enumerate(entries):
+            t[i] = x
+        return t.reshape(*shape, -1)
+
+    if not links:
+        return [([v], filled((2,), 1 - var["base"], var["base"]))]
+    kinds = {x["type"] for x in links}
+    if "exclusive" in kinds:
+        both = [([p, hidden], filled((2, 3), 1.0, 0.0, 1.0, 1.0, 1.0, 1.0)) for p in sorted({x["parent"] for x in links})]
+        return [*both, ([hidden, v], filled((3, 2), 0.0, 0.0, 1.0, -1.0, 0.0, 1.0))]
+    if "observes" in kinds:
+        x = links[0]
+        return [([x["parent"], v], filled((2, 2), 1 - x["b"], x["b"], 1 - x["a"], x["a"]))]
+    out = []
+    for x in links:
+        cut = 1 - x["a"]
+        entries = {"requires": (cut, cut, 1.0, 1.0, 1.0, 1.0), "supports": (1.0, 1.0, 1.0, 1.0, cut, 1.0), "refutes": (1.0, 1.0, 1.0, cut, cut, 1.0)}[x["type"]]
+        out.append(([x["parent"], hidden], filled((2, 3), *entries)))
+    miss = 1 - var["base"]
+    return [*out, ([hidden, v], filled((3, 2), -1.0, 1.0, miss, -miss, 1.0, 0.0))]
+
+
+def product(tables: list[tuple[list[int], np.ndarray]], scope: list[int]) -> np.ndarray:
+    """Product of tables, whose own scopes are sorted, over a sorted scope."""
+    out = None
+    for own, t in tables:
+        t = t[(*(slice(None) if s in own else None for s in scope), slice(None))]
+        out = t if out is None else out * t
+    return out
+
+
+def masses(network: list[dict], evidence: dict[int, bool], draws: int, limit: int = MAX_FACTOR) -> np.ndarray:
+    """Probability of the evidence, constraints included, at each draw of a network from `drawn`."""
+    n, seen = len(network), dict(evidence)
+    for v, var in enumerate(network):
+        if any(x["type"] == "exclusive" for x in var["links"]):
+            if seen.get(v) is False:
+                return np.zeros(draws)
+            seen[v] = True
+    tables = []
+    for v, var in enumerate(network):
+        for scope, t in gates(v, var, n + v):
+            if scope != sorted(scope):
+                scope, t = scope[::-1], t.swapaxes(0, 1)
+            t = t[tuple(int(seen[s]) if s in seen else slice(None) for s in scope)]
+            tables.append(([s for s in scope if s not in seen], t))
+    order = min_fill([set(s) for s, _ in tables], {s for sc, _ in tables for s in sc})
+    size, scopes = 1, [set(s) for s, _ in tables]
+    for v in order:
+        joined = set().union(*(s for s in scopes if v in s))
+        scopes = [s for s in scopes if v not in s] + [joined - {v}]
+        size = max(size, math.prod(3 if s >= n else 2 for s in joined))
+    if size > limit:
+        raise TooLargeError(f"a factor of {size} entries exceeds {limit}")
+    out, step = np.empty(draws), max(1, limit // size)
+    for at in range(0, draws, step):
+        part = [(s, t[..., at : at + step] if t.shape[-1] > 1 else t) for s, t in tables]
+        for v in order:
+            touch = [x for x in part if v in x[0]]
+            scope = sorted({s for sc, _ in touch for s in sc})
+            part = [x for x in part if v not in x[0]] + [([s for s in scope if s != v], product(touch, scope).sum(scope.index(v)))]
+        out[at : at + step] = product(part, [])
+    return out
+
+
+def answers_over_draws(network: list[dict], target: dict[str, bool], draws: int) -> tuple[np.ndarray | None, str | None]:
+    """The answer at each draw, or an error."""
+    name = {v["name"]: i for i, v in enumerate(network)}
+    if missing := [k for k in target if k not in name]:
+        return None, f"unknown-node {missing[0]!r}"
+    try:
+        below = masses(network, {}, draws) if any(x["type"] == "exclusive" for v in network for x in v["links"]) else 1.0
+        if np.any(below <= 0):
+            return None, "zero-probability"
+        return np.clip(masses(network, {name[k]: x for k, x in target.items()}, draws) / below, 0.0, 1.0), None
+    except TooLargeError:
+        return None, "too-large"
+
+
+def band(graph_id, network: list[dict], target: dict[str, bool], draws: int, seed: int) -> tuple:
+    """q05, q50, q95, mean_over_draws, error; all null without a Beta parameter, as the answer can't move then."""
+    net = drawn(network, draws, np.random.default_rng([seed, zlib.crc32(str(graph_id).encode())]))
+    if net is None:
+        return None, None, None, None, None
+    values, error = answers_over_draws(net, target, draws)
+    if error:
+        return None, None, None, None, error
+    return *map(float, np.quantile(values, [0.05, 0.5, 0.95])), float(values.mean()), None
+
+
+def bands(networks: DataFrame, target: dict[str, bool], draws: int = 1000, seed: int = 0) -> DataFrame:
+    """graph_id, q05, q50, q95, mean_over_draws, error: quantiles of the exact answer over draws of every Beta parameter
+    (see `drawn`); points keep their value. A failing network gives a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for g, n in zip(b["graph_id"], b["vars"], strict=True):
-                rng, net, values = np.random.default_rng([seed, zlib.crc32(str(g).encode())]), plain(n), []
-                for _ in range(draws):
-                    drawn = [{**v, "links": [{**x, "a": float(rng.beta(spread * x["a"], spread * (1 - x["a"]))) if 0 < x["a"] < 1 else x["a"]} for x in v["links"]]} for v in net]
-                    values.append(answer(drawn, target)[0])
-                q = np.quantile(values, [0.05, 0.5, 0.95])
-                rows.append((g, *map(float, q), float(np.mean(values))))
-            yield pd.DataFrame(rows, columns=["graph_id", "q05", "q50", "q95", "mean_over_draws"])
+            rows = [(g, *band(g, list(n), target, draws, seed)) for g, n in zip(b["graph_id"], b["vars"], strict=True)]
+            yield pd.DataFrame(rows, columns=["graph_id", "q05", "q50", "q95", "mean_over_draws", "error"])
 
     kind = dict(networks.dtypes)["graph_id"]
-    return networks.select("graph_id", "vars").mapInPandas(run, f"graph_id {kind}, q05 double, q50 double, q95 double, mean_over_draws double")
+    return networks.select("graph_id", "vars").mapInPandas(run, f"graph_id {kind}, q05 double, q50 double, q95 double, mean_over_draws double, error string")

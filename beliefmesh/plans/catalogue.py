@@ -178,8 +178,7 @@ def exclusive_pair(spark, sf_dir):
 
 @query()
 def bands(spark, sf_dir):
-    few = families.order_networks(spark, sf_dir, 3)
-    return inference.bands(few, {"claim": True}, draws=20)
+    return inference.bands(families.order_beta_networks(spark, sf_dir), {"claim": True})
 
 
 # families F2 to F4

@@ -38,3 +38,10 @@ def order_networks(spark: SparkSession, sf_dir: str, most: int | None = None) ->
     return stars.select("graph_id", F.expr("""concat(
         transform(ps, x -> named_struct('name', concat('p', x.k), 'base', x.p, 'links', cast(array() as array<struct<parent:int,type:string,a:double,b:double>>))),
         array(named_struct('name', 'claim', 'base', b, 'links', transform(ps, (x, i) -> named_struct('parent', i, 'type', x.type, 'a', x.s, 'b', 0D)))))""").alias("vars"))
+
+
+def order_beta_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stars as networks whose strengths are Betas of alpha 1 + l_linenumber and beta 2; bases are points."""
+    return order_stars(spark, sf_dir).select("graph_id", F.expr("""concat(
+        transform(ps, x -> named_struct('name', concat('p', x.k), 'base', x.p, 'links', cast(array() as array<struct<parent:int,type:string,a:double,b:double,a_beta:struct<alpha:double,beta:double>>>))),
+        array(named_struct('name', 'claim', 'base', b, 'links', transform(ps, (x, i) -> named_struct('parent', i, 'type', x.type, 'a', x.s, 'b', 0D, 'a_beta', named_struct('alpha', 1D + x.ln, 'beta', 2D))))))""").alias("vars"))

@@ -1,0 +1,76 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from beliefmesh.operators import inference
+from beliefmesh.plans import catalogue, families
+from test_inference import worlds
+
+SF = "/root/testdata/sf0.001"
+
+
+def beta(rng):
+    return {"alpha": 1 + 3 * rng.random(), "beta": 1 + 3 * rng.random()} if rng.random() < 0.7 else None
+
+
+def test_answers_over_draws_equal_brute_force_at_each_draw():
+    rng = random.Random(3)
+    for _ in range(20):
+        net = []
+        for i in range(rng.randint(2, 6)):
+            links = [{"parent": p, "type": rng.choice(["requires", "supports", "refutes"]), "a": rng.random(), "b": 0.0, "a_beta": beta(rng)} for p in rng.sample(range(i), rng.randint(0, i))]
+            net.append({"name": f"v{i}", "base": rng.random(), "base_beta": beta(rng), "links": links})
+        net[0]["base_beta"] = {"alpha": 2.0, "beta": 3.0}
+        drawn = inference.drawn(net, 7, np.random.default_rng(1))
+        got, error = inference.answers_over_draws(drawn, {net[-1]["name"]: True}, 7)
+        assert error is None
+        for d in range(7):
+            at = lambda x: float(np.broadcast_to(x, 7)[d])  # noqa: E731, B023
+            fixed = [{**v, "base": at(v["base"]), "links": [{**x, "a": at(x["a"])} for x in v["links"]]} for v in drawn]
+            assert got[d] == pytest.approx(worlds(fixed, {net[-1]["name"]: True}, {}), rel=1e-9, abs=1e-14)
+
+
+def test_observations_and_exclusive_pairs_over_draws():
+    ab = lambda x, y: {"alpha": x, "beta": y}
+    net = [
+        {"name": "h", "base": 0.3, "base_beta": ab(2.0, 5.0), "links": []},
+        {"name": "k", "base": 0.4, "links": []},
+        {"name": "o", "base": 0.0, "links": [{"parent": 0, "type": "observes", "a": 0.8, "b": 0.2, "a_beta": ab(8.0, 2.0), "b_beta": ab(2.0, 8.0)}]},
+        {"name": "not-both", "base": 0.0, "links": [{"parent": p, "type": "exclusive", "a": 0.0, "b": 0.0} for p in (0, 1)]},
+    ]
+    drawn = inference.drawn(net, 50, np.random.default_rng(1))
+    h, x = drawn[0]["base"], drawn[2]["links"][0]
+    one = h * 0.6 / (1 - h * 0.4)
+    got, _ = inference.answers_over_draws(drawn, {"o": True}, 50)
+    assert got == pytest.approx(one * x["a"] + (1 - one) * x["b"])
+    assert all(len(set(c)) == 50 for c in (h, x["a"], x["b"]))
+
+
+def test_each_beta_is_drawn_from_its_own_alpha_and_beta():
+    net = [{"name": "x", "base": 0.5, "base_beta": {"alpha": 4.0, "beta": 2.0}, "links": []}]
+    q05, q50, q95, mean, _ = inference.band(1, net, {"x": True}, 20000, 0)
+    assert (q05, q50, q95, mean) == pytest.approx((0.3426, 0.6862, 0.9236, 2 / 3), abs=0.01)
+    assert inference.band(1, [{"name": "x", "base": 0.5, "links": []}], {"x": True}, 10, 0) == (None,) * 5
+    assert inference.band(1, net, {"y": True}, 10, 0)[4] == "unknown-node 'y'"
+
+
+def test_bands_of_all_orders(spark):
+    got = {r["graph_id"]: r for r in catalogue.queries()["bands"](spark, SF).collect()}
+    nets = {r["graph_id"]: r["vars"] for r in families.order_beta_networks(spark, SF).collect()}
+    assert len(nets) == 1473 and got.keys() == nets.keys()
+    assert all(r["error"] is None and r["q05"] <= r["q50"] <= r["q95"] for r in got.values())
+    largest = sorted(nets, key=lambda g: len(nets[g]))
+    for g in itertools.chain(largest[:2], largest[-2:]):
+        net = [v.asDict(recursive=True) for v in nets[g]]
+        # the closed form of a star, at each of the 1000 draws
+        drawn = inference.drawn(net, 1000, np.random.default_rng([0, inference.zlib.crc32(str(g).encode())]))
+        n = s = k = 1.0
+        for x in drawn[-1]["links"]:
+            p = drawn[x["parent"]]["base"]
+            n = n * (1 - x["a"] * (1 - p) if x["type"] == "requires" else 1)
+            s = s * (1 - x["a"] * p if x["type"] == "supports" else 1)
+            k = k * (1 - x["a"] * p if x["type"] == "refutes" else 1)
+        want = n * (drawn[-1]["base"] * s + 1 - s) * k
+        assert [got[g][c] for c in ("q05", "q50", "q95", "mean_over_draws")] == pytest.approx([*np.quantile(want, [0.05, 0.5, 0.95]), want.mean()], rel=1e-9)
