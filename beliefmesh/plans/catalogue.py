@@ -164,18 +164,31 @@ def crux_rank(spark, sf_dir):
     return v.groupBy("graph_id").agg(r6(F.max("v")).alias("value"))
 
 
+HEAVY_ALL = """two AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, k) AS h FROM prem QUALIFY count(*) OVER (PARTITION BY g) >= 2)"""
 HEAVY = """two AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, k) AS h FROM prem QUALIFY count(*) OVER (PARTITION BY g) BETWEEN 2 AND 8)"""
 
 
-@query(f"WITH {STAR}, {HEAVY}, cases(v1, v2) AS (VALUES (0, 0), (0, 1), (1, 0)), c AS (SELECT g, v1, v2, any_value(CASE WHEN h = 1 THEN p END) AS x1, max(CASE WHEN h = 1 THEN p END) AS p1, max(CASE WHEN h = 2 THEN p END) AS p2, {gate('CASE h WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE p END')} AS pc FROM two JOIN claim USING (g), cases GROUP BY g, b, v1, v2), w AS (SELECT *, (CASE v1 WHEN 1 THEN p1 ELSE 1 - p1 END) * (CASE v2 WHEN 1 THEN p2 ELSE 1 - p2 END) AS wt FROM c) SELECT g AS graph_id, round(sum(wt * pc) / sum(wt), 6) AS p_claim FROM w GROUP BY g")
-def exclusive_pair(spark, sf_dir):
-    nets = families.order_networks(spark, sf_dir, 8).where("size(vars) >= 3")
+PAIR = f"cases(v1, v2) AS (VALUES (0, 0), (0, 1), (1, 0)), c AS (SELECT g, v1, v2, any_value(CASE WHEN h = 1 THEN p END) AS x1, max(CASE WHEN h = 1 THEN p END) AS p1, max(CASE WHEN h = 2 THEN p END) AS p2, {gate('CASE h WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE p END')} AS pc FROM two JOIN claim USING (g), cases GROUP BY g, b, v1, v2), w AS (SELECT *, (CASE v1 WHEN 1 THEN p1 ELSE 1 - p1 END) * (CASE v2 WHEN 1 THEN p2 ELSE 1 - p2 END) AS wt FROM c) SELECT g AS graph_id, round(sum(wt * pc) / sum(wt), 6) AS p_claim FROM w GROUP BY g"
+
+
+def tied_pair(nets: DataFrame) -> DataFrame:
     ranked = "array_sort(transform(slice(vars, 1, size(vars) - 1), (v, i) -> named_struct('neg', -v.base, 'i', i)))"
     link = lambda n: f"named_struct('parent', {ranked}[{n}].i, 'type', 'exclusive', 'a', 0D, 'b', 0D)"
     tied = nets.withColumn("vars", F.expr(f"concat(vars, array(named_struct('name', 'only-one', 'base', 0D, 'links', array({link(0)}, {link(1)}))))"))
     return inference.eliminate(tied, {"claim": True}).select("graph_id", r6("answer").alias("p_claim"))
 
 
+@query(f"WITH {STAR}, {HEAVY}, {PAIR}")
+def exclusive_pair(spark, sf_dir):
+    """Orders of 2 to 8 premises, as in its SQL; exclusive_pair_all has all."""
+    return tied_pair(families.order_networks(spark, sf_dir, 8).where("size(vars) >= 3"))
+
+
+@query(f"WITH {STAR}, {HEAVY_ALL}, {PAIR}")
+def exclusive_pair_all(spark, sf_dir):
+    return tied_pair(families.order_networks(spark, sf_dir).where("size(vars) >= 3"))
+
+
 @query()
 def bands(spark, sf_dir):
     return inference.bands(families.order_beta_networks(spark, sf_dir), {"claim": True})

@@ -1,0 +1,17 @@
+"""Queries over all orders, whatever their number of premises (31 of 1473 have more than 8)."""
+
+import oracle
+import pytest
+
+from beliefmesh.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(("name", "least"), [("exclusive_pair_all", 2)])
+def test_every_order_has_a_row(spark, name, least):
+    got = catalogue.queries()[name](spark, SF).toPandas()
+    duck = oracle.connect(SF)
+    want = {g for (g,) in duck.execute(f"select l_orderkey from lineitem group by all having count(*) >= {least}").fetchall()}
+    assert len(got) == len(want) and set(got.graph_id) == want
+    assert oracle.rows(got) == oracle.rows(duck.execute(catalogue.oracle_sql()[name]).df())
