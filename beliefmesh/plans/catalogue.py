@@ -64,10 +64,18 @@ def marginal_closed(spark, sf_dir):
 
 @query(SMALL)
 def marginal_enumerated(spark, sf_dir):
+    """Orders of at most 8 premises, as in its SQL; marginal_enumerated_all has all."""
     got = inference.enumerate_worlds(families.order_networks(spark, sf_dir, 8), "map('claim', true)")
     return got.select("graph_id", r6("answer").alias("p_claim"))
 
 
+@query(MARGINAL)
+def marginal_enumerated_all(spark, sf_dir):
+    """The operator's own limit of variables alone decides: an order beyond it has a null."""
+    got = inference.enumerate_worlds(families.order_networks(spark, sf_dir), "map('claim', true)")
+    return got.select("graph_id", r6("answer").alias("p_claim"))
+
+
 @query(MARGINAL)
 def marginal_eliminated(spark, sf_dir):
     return inference.eliminate(families.order_networks(spark, sf_dir), {"claim": True}).select("graph_id", r6("answer").alias("p_claim"))
@@ -86,10 +94,18 @@ def conditional_premise_given_claim(spark, sf_dir):
 
 @query(f"WITH {STAR}, few AS (SELECT g FROM prem GROUP BY g HAVING count(*) <= 8) SELECT g AS graph_id, round(any_value(p1) * ({gate('CASE WHEN k = 1 THEN 1 ELSE p END')}) / nullif({gate()}, 0), 6) AS p_premise FROM (SELECT *, first_value(p) OVER (PARTITION BY g ORDER BY k) AS p1 FROM prem WHERE g IN (FROM few)) JOIN claim USING (g) GROUP BY g, b")
 def conditional_enumerated(spark, sf_dir):
+    """Orders of at most 8 premises, as in its SQL; conditional_enumerated_all has all."""
     got = inference.enumerate_worlds(families.order_networks(spark, sf_dir, 8), "map('p1', true)", "map('claim', true)")
     return got.select("graph_id", r6("answer").alias("p_premise"))
 
 
+@query(SQL["conditional_premise_given_claim"])
+def conditional_enumerated_all(spark, sf_dir):
+    """The operator's own limit of variables alone decides: an order beyond it has a null."""
+    got = inference.enumerate_worlds(families.order_networks(spark, sf_dir), "map('p1', true)", "map('claim', true)")
+    return got.select("graph_id", r6("answer").alias("p_premise"))
+
+
 @query(f"WITH {STAR} SELECT g AS graph_id, round({gate('CASE WHEN k = 1 THEN 0 ELSE p END')}, 6) AS p_claim FROM prem JOIN claim USING (g) GROUP BY g, b")
 def intervene_premise_false(spark, sf_dir):
     return inference.eliminate(families.order_networks(spark, sf_dir), {"claim": True}, do={"p1": False}).select("graph_id", r6("answer").alias("p_claim"))

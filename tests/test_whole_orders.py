@@ -8,7 +8,7 @@ from beliefmesh.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(("name", "least"), [("exclusive_pair_all", 2)])
+@pytest.mark.parametrize(("name", "least"), [("exclusive_pair_all", 2), ("marginal_enumerated_all", 1), ("conditional_enumerated_all", 1)])
 def test_every_order_has_a_row(spark, name, least):
     got = catalogue.queries()[name](spark, SF).toPandas()
     duck = oracle.connect(SF)
