@@ -38,23 +38,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: Column, tie: list[Column], out: str = "rank", splits: int = 1024, per_group: DataFrame | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: Column, tie: list[Column], out: str = "rank", splits: int = 1024, per_group: DataFrame | None = None, per_slice: dict[str, str] | None = None) -> DataFrame:
     """Add a gapless 0-based rank of each row within its group, in the order of (hash of tie, tie).
 
     A group may hold most of all rows, so it is cut into `splits` slices by the leading part of the hash; rows are
     ranked within a slice, and a small table of slice counts gives each slice its first rank. The ranks do not depend
     on `splits`, which only sets how many rows share a task (rows of the largest group / splits). per_group has a
     column `__g` and others to add to each row of the group; they travel with the table of slices, so that the rows
-    themselves are never dealt out by group. Groups that it lacks are left out.
+    themselves are never dealt out by group. Groups that it lacks are left out. per_slice: SQL that replaces columns of
+    per_group in each slice, from them, __start (rank of the slice's first row) and __n (rows of the slice).
     """
     h = F.pmod(F.xxhash64(*tie), F.lit(HASH_SPAN))
     keyed = df.withColumns({"__g": group, "__h": h}).withColumn("__s", F.floor(F.col("__h") * splits / HASH_SPAN).cast("int"))
     counts = keyed.groupBy("__g", "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__g").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("__g").alias("__g2"), F.col("__s").alias("__s2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    added = [c for c in per_group.columns if c != "__g"] if per_group is not None else []
+    starts = counts.select(F.col("__g").alias("__g2"), F.col("__s").alias("__s2"), "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    added = [*(c for c in per_group.columns if c != "__g"), *(per_slice or {})] if per_group is not None else []
     if per_group is not None:
         starts = starts.join(per_group.withColumnRenamed("__g", "__g3"), F.col("__g2").eqNullSafe(F.col("__g3"))).drop("__g3")
+        starts = starts.withColumns({c: F.expr(e) for c, e in (per_slice or {}).items()})
     inside = Window.partitionBy("__g", "__s").orderBy("__h", *tie)
     local = keyed.withColumn("__r", F.row_number().over(inside) - 1)
     joined = local.join(starts, F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__s") == F.col("__s2")), "inner")

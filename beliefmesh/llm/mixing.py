@@ -5,9 +5,14 @@ a source of weight w may not start before slot floor(j / w) and is due by slot c
 per slot, the released block with the earliest deadline first, so at every slot each live source has received its
 weight's share to within less than one block.
 
-Weights are rounded to whole units of a hyperperiod of D slots (D = the sum of the units). The schedule repeats after
-D slots, so only one hyperperiod is planned: a fold over D slots on a single row of per-source state. Each document
-then finds its slot by arithmetic from its rank within its source; nothing grows with the corpus but that rank.
+Every block of the corpus is planned, by default: the driver reads the rows of each source and deals blocks out of a heap
+(a number per `block_rows` documents), with weights in units of 2^-36 of the whole. Rounding moves a share by less than
+(sources + 1) / 2^36, which is far below one block over all slots. Documents find their slot by their rank within their
+source; each slice of ranks carries the slots of its own blocks only.
+
+With `units`, weights are rounded to whole units of a hyperperiod of D slots (D = the sum of the units), which repeats;
+only one is planned: a fold over D slots on a single row of per-source state. The bound then holds against the rounded
+weights, not the given ones.
 
 A source that ends leaves its later slots empty; the others keep their release times. No row is dropped or repeated.
 
@@ -17,12 +22,16 @@ rows; null ids and texts are kept; columns besides those used are ignored by `sc
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beliefmesh.llm.common import pick, ranked
 
-UNITS = 1000
+#: Units of the whole weight in an exact plan, and the part of the whole that a source of no weight gets there.
+FINE = 1 << 36
+LEAST = 1000
 BLOCK_ROWS = 32
 TEMPERATURE = 0.5
 
@@ -31,20 +40,61 @@ def source_key(name: str = "source"):
     return F.coalesce(F.concat(F.lit("s:"), F.col(name)), F.lit("null"))
 
 
-def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, units: int = UNITS) -> DataFrame:
+def target_weights(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float) -> DataFrame:
+    """source_key, rows, w: the weight as given (0 if absent), or else the row count to the power `temperature`."""
+    counts = docs.select(source_key().alias("source_key")).groupBy("source_key").agg(F.count(F.lit(1)).alias("rows"))
+    if weights is None:
+        return counts.withColumn("w", F.pow(F.col("rows").cast("double"), F.lit(float(temperature))))
+    pairs = [x for k, v in weights.items() for x in (F.lit("null" if k is None else f"s:{k}"), F.lit(float(v)))]
+    given = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+    return counts.withColumn("w", F.coalesce(given[F.col("source_key")], F.lit(0.0)))
+
+
+def fine_units(weights: list[float]) -> list[int]:
+    total = sum(weights)
+    return [max(1, round(FINE * w / total)) if w > 0 else FINE // LEAST for w in weights]
+
+
+def earliest_deadlines(units: list[int], blocks: list[int]) -> list[list[int]]:
+    """The slot of each block of each source, earliest deadline first among the released; no slot is visited in vain."""
+    d = sum(units)
+    due = lambda i, j: -(-(j + 1) * d // units[i])
+    slots: list[list[int]] = [[] for _ in units]
+    waiting = [(0, i) for i in range(len(units)) if blocks[i]]
+    ready: list[tuple[int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (due(i, len(slots[i])), i))
+        i = heapq.heappop(ready)[1]
+        slots[i].append(slot)
+        if len(slots[i]) < blocks[i]:
+            heapq.heappush(waiting, (len(slots[i]) * d // units[i], i))
+        slot += 1
+    return slots
+
+
+def exact_plan(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per source: source_key, units of weight, their sum D as period, and the slots of all its blocks."""
+    rows = sorted(map(tuple, target_weights(docs, weights, temperature).collect()))
+    units = fine_units([w for _, _, w in rows])
+    slots = earliest_deadlines(units, [-(-n // block_rows) for _, n, _ in rows])
+    period = sum(units)
+    planned = [(k, u, period, s) for (k, _, _), u, s in zip(rows, units, slots, strict=True)]
+    return docs.sparkSession.createDataFrame(planned, "source_key string, units long, period long, slots array<long>")
+
+
+def plan(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, units: int) -> DataFrame:
     """One row per source: source_key, rows, units of weight, period D, and the slots its blocks take in a period.
 
     weights: target weight by source (absent sources: 0 units are raised to 1, so that no source starves). Without it,
     the weight of a source is its row count to the power `temperature`. The plan holds D <= units + number of sources
     slots, whatever the number of documents.
     """
-    counts = docs.select(source_key().alias("source_key")).groupBy("source_key").agg(F.count(F.lit(1)).alias("rows"))
-    if weights is None:
-        weighted = counts.withColumn("w", F.pow(F.col("rows").cast("double"), F.lit(float(temperature))))
-    else:
-        pairs = [x for k, v in weights.items() for x in (F.lit("null" if k is None else f"s:{k}"), F.lit(float(v)))]
-        given = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-        weighted = counts.withColumn("w", F.coalesce(given[F.col("source_key")], F.lit(0.0)))
+    weighted = target_weights(docs, weights, temperature)
     rows = weighted.groupBy().agg(F.array_sort(F.collect_list(F.struct("source_key", "rows", "w"))).alias("t"))
     total = "aggregate(t, 0D, (a, x) -> a + x.w)"
     rows = rows.selectExpr("t", f"transform(t, x -> greatest(1, cast(round({units} * x.w / greatest({total}, 1e-300)) as int))) as u")
@@ -61,18 +111,22 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, temper
     return order.selectExpr(f"inline({per_source})")
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE, units: int = UNITS, carry: list[str] | None = None, splits: int = 1024) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE, units: int | None = None, carry: list[str] | None = None, splits: int = 1024) -> DataFrame:
     """Per document: doc_id, source, source_rank, block, units, period, slot, release, deadline (all from 0; the block
-    is served within [release, deadline) in slot time), beside the `carry` columns."""
+    is served within [release, deadline) in slot time), beside the `carry` columns. units: plan a hyperperiod of so many."""
     keep = list(dict.fromkeys(["doc_id", "source", *(carry or [])]))
     slim = pick(docs, *keep)
-    by = plan(slim, weights, temperature, units).drop("rows")
+    exact = units is None
+    by = exact_plan(slim, weights, temperature, block_rows) if exact else plan(slim, weights, temperature, units).drop("rows")
+    # a slice of ranks carries the slots of its blocks
+    own = {"first_block": f"__start div {block_rows}", "slots": f"slice(slots, cast(__start div {block_rows} as int) + 1, cast(__n div {block_rows} as int) + 2)"} if exact else {}
     tie = [F.col("doc_id"), *([F.xxhash64(F.col("text"))] if "text" in keep else [])]
-    rank = ranked(slim, source_key(), tie, "source_rank", splits, by.withColumnRenamed("source_key", "__g"))
+    rank = ranked(slim, source_key(), tie, "source_rank", splits, by.withColumnRenamed("source_key", "__g"), own)
+    slot = "element_at(slots, cast(block - first_block as int) + 1)" if exact else "(block div units) * period + element_at(slots, cast(block % units as int) + 1)"
     block = rank.withColumn("block", F.expr(f"source_rank div {block_rows}"))
     return block.select(
         *[F.col(f"`{c}`") for c in keep], "source_rank", "block", "units", "period",
-        F.expr("(block div units) * period + element_at(slots, cast(block % units as int) + 1)").alias("slot"),
+        F.expr(slot).alias("slot"),
         F.expr("(block * period) div units").alias("release"),
         F.expr("((block + 1) * period + units - 1) div units").alias("deadline"),
     )
