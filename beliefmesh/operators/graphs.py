@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beliefmesh.functions import text
+
 ACYCLIC = ("requires", "supports", "refutes", "observes")
 INFERENTIAL = (*ACYCLIC, "equivalent", "exclusive")
 
@@ -95,3 +97,10 @@ def dependencies(relations: DataFrame, targets: DataFrame) -> DataFrame:
         if front.isEmpty():
             return found.distinct()
         seen = written(seen.unionByName(front))
+
+
+def citations_found(citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """citations (doc_id, quote and others) with found: whether the normalised quote is in the normalised text of the
+    document it names; null if there is no such document or text, as it can't be checked then."""
+    texts = documents.select("doc_id", text.normalise_text(F.col("text")).alias("__text"))
+    return citations.withColumn("__quote", text.normalise_text(F.col("quote"))).join(texts, "doc_id", "left").withColumn("found", F.contains("__text", "__quote")).drop("__text", "__quote")

@@ -374,6 +374,27 @@ def citation_found(spark, sf_dir):
     return b.join(r, "r_regionkey").select("item_id", F.contains(F.col("r_name"), text.normalise_text(F.col("quote"))).alias("found"))
 
 
+NORM = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH own AS (SELECT doc_id AS id, substr(text, 1 + length(text) // 3, 120) AS quote FROM documents),
+cited AS (SELECT id, id AS doc_id, 'own' AS kind, quote FROM own UNION ALL SELECT id, id, 'altered', quote || ' ~' || id || '~' FROM own
+UNION ALL SELECT id, -1 - id, 'no document', quote FROM own WHERE id % 50 = 0
+UNION ALL SELECT d.doc_id, d.doc_id, 'benchmark', b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT c.id, c.kind, contains({NORM.format('d.text')}, {NORM.format('c.quote')}) AS found FROM cited c LEFT JOIN documents d ON d.doc_id = c.doc_id""")
+def citation_in_document(spark, sf_dir):
+    """Four kinds of citations of documents: a passage of their own, the same altered, one of a document that doesn't
+    exist (for every 50th) and a benchmark passage."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    own = d.select(F.col("doc_id").alias("id"), F.expr("substring(text, 1 + cast(length(text) div 3 as int), 120)").alias("quote"))
+    cited = own.select("id", F.col("id").alias("doc_id"), F.lit("own").alias("kind"), "quote")
+    cited = cited.unionByName(own.select("id", F.col("id").alias("doc_id"), F.lit("altered").alias("kind"), F.expr("concat(quote, ' ~', id, '~')").alias("quote")))
+    cited = cited.unionByName(own.where("id % 50 = 0").select("id", (-1 - F.col("id")).alias("doc_id"), F.lit("no document").alias("kind"), "quote"))
+    items = b.select("item_id", F.col("text").alias("quote")).crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("items"))))
+    cited = cited.unionByName(d.select("doc_id").join(F.broadcast(items), F.expr("item_id = doc_id % items")).select(F.col("doc_id").alias("id"), "doc_id", F.lit("benchmark").alias("kind"), "quote"))
+    return graphs.citations_found(cited, d).select("id", "kind", "found")
+
+
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS graph_id, count(*) AS nodes, round(sum((1 + s_suppkey % 8) / 10.0::DOUBLE), 6) AS bases, CAST(sum(1 + s_suppkey % 5) AS DOUBLE) AS alphas, count(*) FILTER (s_suppkey % 2 = 0) AS relations FROM supplier GROUP BY s_nationkey")
 def graph_json_round_trip(spark, sf_dir):
     """Suppliers of a nation as one JSON document, written and read again; even ones have a relation."""
