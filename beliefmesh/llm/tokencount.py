@@ -9,16 +9,18 @@
    summed per document. A rare pre-token is in few documents, so the join has no hot key: common ones are in the
    table, and those that a sample missed are pre-aggregated per document.
 
-The table of frequent pre-tokens sets the cost only; results don't depend on it. Texts with special strings or unusual
-characters are counted whole by the library.
-
-Defined cases: null text is empty and has 0 tokens; null and repeated ids keep one row per row; other columns are
-ignored; an empty table gives an empty result.
+The table of frequent pre-tokens sets the cost only; results don't depend on it. Every text takes this way, whatever its
+characters: no text is encoded whole. Pre-tokens of over `LONGEST` code points, such as a line of dashes, are never in the
+table, so they are dealt by SPREAD salts beside the pre-token: one that many documents share is in many tasks, each of
+which counts it once.
+
+Defined cases: null text is empty and has 0 tokens; a very long text is one row, a very long pre-token one entry of it;
+null and repeated ids keep one row per row; ties among equally frequent pre-tokens go by the pre-token and don't change
+a count; other columns, also such as `row` or `piece`, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beliefmesh.llm.common import bounded_sample, lean, materialise, pick, small_batches, worker_state
-from beliefmesh.llm.tokens import BYTE_PIECES, is_plain, load, vocabulary_path
+from beliefmesh.llm.tokens import Splitter, load, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_DOCS = 8000
 FREQUENT = 250_000
 LONGEST = 400  # longer pre-tokens are not put in tables
+SPREAD = 64
 
 
 def tokenizer(path: str):
@@ -49,9 +52,9 @@ def count_pieces(path: str, pretokens: list[str]) -> list[int]:
 
 def frequent_table(docs: DataFrame, path: str, sample_docs: int, frequent: int) -> dict[str, int]:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = re.compile(BYTE_PIECES).findall
+        pieces = Splitter(tokenizer(path))
         for b in batches:
-            c = Counter(p for t in b["text"] if t and is_plain(t) for p in pieces(t) if len(p) <= LONGEST)
+            c = Counter(p for t in b["text"] if t for p in pieces(t) if len(p) <= LONGEST)
             yield pd.DataFrame({"piece": pd.Series(list(c.keys()), dtype=object), "n": list(c.values())})
 
     sample = bounded_sample(pick(docs, "doc_id", "text"), F.col("doc_id"), sample_docs, of=docs)
@@ -69,8 +72,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = table.value
-        pieces = re.compile(BYTE_PIECES).findall
-        whole = tokenizer(path)
+        pieces = Splitter(tokenizer(path))
         for b in batches:
             size, base, rare = [], [], []
             for t in b["text"]:
@@ -78,9 +80,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
                     size.append(0), base.append(0), rare.append(None)
                     continue
                 size.append(len(t.encode("utf-8", "surrogatepass")))
-                if not is_plain(t):
-                    base.append(len(whole.encode(t, add_special_tokens=False))), rare.append(None)
-                    continue
                 n, rest = 0, []
                 for p, f in Counter(pieces(t)).items():
                     k = known.get(p)
@@ -108,7 +107,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
             yield pd.DataFrame({"row": b["row"], "n": np.array([counts[p] for p in b["piece"]], np.int64) * b["f"].to_numpy(np.int64)})
 
     # frequencies and counts meet by pre-token in one shuffle
-    met = rare.repartition("piece").sortWithinPartitions("piece").mapInPandas(lean(times_pieces, "tokenizers"), "row long, n long")
+    salt = F.when(F.length("piece") > LONGEST, F.pmod("row", F.lit(SPREAD)))
+    met = rare.repartition("piece", salt).sortWithinPartitions("piece").mapInPandas(lean(times_pieces, "tokenizers"), "row long, n long")
     sums = met.groupBy("row").agg(F.sum("n").alias("more"))
     n = F.col("base") + F.coalesce("more", F.lit(0))
     return parts.drop("pieces", "times").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
