@@ -30,10 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders written by this driver process and not released yet.
+SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder, remembered for `release`."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the folders that operators have written, but for the first `keep`. Frames that read them can't be computed
+    any more, so it is for the time after their results are written."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    while len(SCRATCH) > keep:
+        path = hadoop(SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts lineage, survives lost executors,
     and keeps costly Python stages from being computed once per use."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from beliefmesh.llm import fingerprints, langid, mixing, neardup, packing, rules, tokencount, toxicity, urlfilter, warc
 
@@ -34,7 +35,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Read off the assembled transaction: the page's id from its request record and the type only where its metadata
+    record was found too, so that a record that isn't joined shows as a null."""
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    kind = F.when(F.col("metadata").isNotNull() & F.col("request").isNotNull(), F.col("record_type"))
+    page = warc.header("request", "warc-x-page-id").cast("long")
+    return rows.select(page.alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

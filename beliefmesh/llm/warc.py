@@ -8,28 +8,30 @@ lie in any store Spark reaches, and a lost task writes its file anew.
 
 Reading. Spark's text reader, cut at CR LF CR LF, streams a file's pieces in order to a parser that rebuilds the byte
 stream and cuts records by Content-Length, so that payloads may hold any bytes and a task holds one record at a time.
-gzip files aren't split, so each file is parsed from its start.
+gzip files aren't split, so each file is parsed from its start. `round_trip` parses the archives once: the records go to
+a table, which the branches of the assembly read.
 
 Assembly. Responses and revisits are joined with their request and metadata through the concurrent-to identifiers
 (also where the response names them), and revisits with the response they refer to.
 
 Defined cases: null html is an empty payload; a null url leaves the target out; null page ids are written, never
 referred to before others with an id, and come back null; rows with the same page_id and payload share a record id and
-come back as often as written; an empty table gives an empty result; other columns are ignored.
+come back as often as written; a very long payload is one record; of several requests or metadata records of a capture
+the smallest (by id, then fields) is taken; an empty table gives an empty result; other columns, also ones such as
+`digest`, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beliefmesh.llm.common import lean, pick, shared_folder
+from beliefmesh.llm.common import lean, materialise, pick, scratch
 
 LEAST = 100
 BREAK = "\r\n\r\n"
@@ -184,6 +186,11 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = LEAST, payloads: bool = False) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back and assemble the captures."""
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(pages, path, least)
-    return assemble(read(spark, path, payloads))
+    return assemble(materialise(read(spark, path, payloads)))
+
+
+def header(part: str, name: str) -> Column:
+    """A header of the nested request or metadata record of an assembled row."""
+    return F.expr(f"get(filter({part}.fields, f -> f.key = '{name}'), 0).value")
