@@ -4,19 +4,23 @@ A rule is a host and a path; it fits the host and its subdomains where the url's
 gives its candidate keys: each host suffix with each path prefix of a length that some rule has. The cascade holds the
 listed keys exactly over the whole universe of candidate keys in the corpus: level 0 encodes the listed keys, level 1
 the other keys of the universe that level 0 lets through, level 2 the listed keys that level 1 lets through, and so on
-until a level lets nothing wrong through. A key is listed if the first level that rejects it is odd. One pass over the
-corpus finds the false positives of level 0 (as many as a small multiple of the list); later levels work on those and
-the list alone. The filters are literals of the plan, so urls are judged in one scan without join or shuffle.
+until a level lets nothing wrong through. A key is listed if the first level that rejects it is odd. One pass over the corpus counts
+its distinct keys approximately; level 0 takes so many hashes (log2 of keys of the universe a listed key) that a second
+pass finds about as many false positives as there are listed keys, whatever the corpus; later levels work on those and
+the list alone. The filters are literals of the plan, each of them once, so urls are judged in one scan without join or
+shuffle.
 
-The filters' bits are proportional to the list, about 2 log2(universe / list) bits a key; the list and the false
-positives pass the driver as bits only, never as keys.
+The filters' bits are proportional to the list, at most 1.5 log2(universe / list) bits a key in level 0; the list and the
+false positives pass the driver as bits only, never as keys. The count sets sizes alone: with a wrong one the answers are
+the same.
 
 A second cascade over the listed keys tells blocked from allowed ones.
 
 Defined cases: null url, or one without `://`, has an empty host and path and no rule; of rules that fit, the longest
 (as `host` + `path`) wins, of equally long ones the one with the longer host; without a rule the verdict is the
-cascade's for an unlisted key: allow. Repeated rules with the same key count once, block before allow. Other columns
-are ignored; an empty table gives an empty result.
+cascade's for an unlisted key: allow. Repeated rules with the same key count once, block before allow. A very long url is
+one row, with a key for each host suffix and known path length; repeated rows are judged alike; other columns, also such
+as `host` or `rule`, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from beliefmesh.llm.common import pick
 # the contract's rules
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 HASHES = 3
+MOST_HASHES = 40
 
 
 AFTER_SCHEME = "if(instr(url, '://') > 0, substring(url, instr(url, '://') + 3), '')"
@@ -58,14 +63,14 @@ def candidates(lengths: list[int]) -> Column:
 
 @dataclass
 class Cascade:
-    levels: list[tuple[int, int, list[int]]] = field(default_factory=list)  # seed, bits, words
+    levels: list[tuple[int, int, int, list[int]]] = field(default_factory=list)  # seed, hashes, bits, words
 
     def passes(self, key: str, level: int) -> str:
-        """SQL: whether the level's filter lets the key through."""
-        seed, bits, words = self.levels[level]
+        """SQL: whether the level's filter lets the key through. The words stand in it once, as a lambda's argument."""
+        seed, hashes, bits, words = self.levels[level]
         table = "array(" + ", ".join(f"{w}L" if w > -(1 << 63) else "-9223372036854775807L - 1L" for w in words) + ")"
-        tests = [f"getbit(element_at({table}, cast({at} div 64 as int) + 1), cast({at} % 64 as int)) = 1" for at in positions(key, seed, bits)]
-        return "(" + " and ".join(tests) + ")"
+        tests = [f"getbit(element_at(w{level}, cast({at} div 64 as int) + 1), cast({at} % 64 as int)) = 1" for at in positions(key, seed, hashes, bits)]
+        return f"exists(array({table}), w{level} -> {' and '.join(tests)})"
 
     def contains(self, key: str) -> str:
         """SQL: exact membership for keys of the universe: the first level that rejects is odd, or none does and the
@@ -76,32 +81,35 @@ class Cascade:
         return out
 
 
-def positions(key: str, seed: int, bits: int) -> list[str]:
-    return [f"pmod(xxhash64({key}, {seed * HASHES + j}), {bits})" for j in range(HASHES)]
+def positions(key: str, seed: int, hashes: int, bits: int) -> list[str]:
+    return [f"pmod(xxhash64({key}, {seed * MOST_HASHES + j}), {bits})" for j in range(hashes)]
 
 
-def bits_of(keys: DataFrame, seed: int, bits: int) -> list[int]:
+def bits_of(keys: DataFrame, seed: int, hashes: int, bits: int) -> list[int]:
     """The filter over column `key` as 64-bit words: ors of single bits, aggregated by word."""
-    at = keys.select(F.explode(F.array(*[F.expr(x) for x in positions("key", seed, bits)])).alias("at"))
+    at = keys.select(F.explode(F.array(*[F.expr(x) for x in positions("key", seed, hashes, bits)])).alias("at"))
     words = at.selectExpr("cast(at div 64 as int) as w", "shiftleft(1L, cast(at % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
     got = {r["w"]: r["b"] for r in words.collect()}
     return [got.get(i, 0) for i in range(-(-bits // 64))]
 
 
-def build(listed: DataFrame, universe: DataFrame, universe_size: int = 1 << 20, most_levels: int = 40) -> Cascade:
+def build(listed: DataFrame, universe: DataFrame, universe_size: int | None = None, most_levels: int = 40) -> Cascade:
     """listed, universe: DataFrames with one string column `key`. `universe` may hold the listed keys too;
-    universe_size, a guess at its distinct keys, sets the bits of level 0 alone."""
+    universe_size, its distinct keys, is counted (approximately) by default and sets the size of level 0 alone."""
     cascade = Cascade()
     inside = listed.where("key is not null").distinct().persist()
     n = inside.count()
     if not n:
         inside.unpersist()
         return cascade
-    per_key = HASHES * max(1.5, math.log2(max(2.0, universe_size / n)) / 4)
+    if universe_size is None:
+        universe_size = universe.agg(F.approx_count_distinct("key")).first()[0]
+    first_hashes = min(MOST_HASHES, max(HASHES, math.ceil(math.log2(max(2.0, universe_size / n)))))
     current, count, before = inside, n, None
     for level in range(most_levels):
-        bits = 64 * math.ceil(count * (2 * HASHES if level else per_key) / 64)
-        cascade.levels.append((level, bits, bits_of(current, level, bits)))
+        hashes = HASHES if level else first_hashes
+        bits = 64 * math.ceil(count * hashes * (2 if level else 1.5) / 64)
+        cascade.levels.append((level, hashes, bits, bits_of(current, level, hashes, bits)))
         if before is None:  # the one pass over the corpus
             before = universe.where(cascade.passes("key", 0)).distinct().join(inside, "key", "left_anti").persist()
             outside = before
