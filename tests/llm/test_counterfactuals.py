@@ -1,0 +1,74 @@
+"""The counterfactual penalty: its gradient, its effect on scores of swapped sentences, and what it costs held-out texts."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from beliefmesh.llm import toxicity
+from beliefmesh.llm.common import held_out
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    n, k, s = 12, 7, 9
+    x, y = rng.random((n, k)), rng.integers(0, 2, n).astype(float)
+    rows = rng.random(n) / n
+    one = rng.integers(0, 3, s)
+    pairs = (rng.random((s, k)), one, one + 2)
+    scale, w, b = 0.5 + rng.random(k), rng.normal(0, 0.7, k), 0.3
+    at = lambda w, b: toxicity.objective(w, b, x, y, rows, pairs, scale, 3.0, 0.01)
+    _, g, gb = at(w, b)
+    for i in range(k):
+        e = np.zeros(k)
+        e[i] = 1e-6
+        assert g[i] == pytest.approx((at(w + e, b)[0] - at(w - e, b)[0]) / 2e-6, abs=1e-6)
+    assert gb == pytest.approx((at(w, b + 1e-6)[0] - at(w, b - 1e-6)[0]) / 2e-6, abs=1e-6)
+
+
+def test_pairs_swap_mentions_and_place_terms_elsewhere():
+    lists = [["women", "men"], ["frauen", "männer", "juden"]]
+    (h, rest, a, b), (_, rest2, a2, b2) = toxicity.pairs_of("The women sing. Nothing here", lists)
+    assert (rest, a, b) == (["sing", "the"], "women", "men") and h >= 0
+    assert rest2 == ["here", "nothing"] and a2 != b2 and any({a2, b2} <= set(x) for x in lists)
+    assert toxicity.pairs_of(None, lists) == toxicity.pairs_of("", lists) == []
+    assert {(x[2], x[3]) for x in toxicity.pairs_of("Frauen und Männer", lists)} == {("frauen", "juden"), ("männer", "juden")}
+    assert len(toxicity.pairs_of("w " * 100, lists)) == 3
+
+
+@pytest.fixture(scope="module")
+def sf(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    return read("documents"), read("labels")
+
+
+def biased(spark, sf):
+    """The labelled documents, where toxic ones mention one group and clean ones another: a classifier that takes the
+    mention for the insult scores neutral mentions wrongly."""
+    docs, labels = sf
+    known = docs.select("doc_id", "text").join(labels.where("toxic is not null"), "doc_id").toPandas().sort_values("doc_id")
+    text = [f"{t} These {'muslims' if x else 'buddhists'}" if i % 4 < 3 else t for i, (t, x) in enumerate(zip(known.text, known.toxic, strict=True))]
+    return spark.createDataFrame(known.assign(text=text)[["doc_id", "text"]])
+
+
+def test_neutral_mentions_score_alike_and_held_out_catch_is_no_worse(spark, sf):
+    d, labels = biased(spark, sf), sf[1]
+    probes = spark.createDataFrame([(0, "the muslims sing in the choir"), (1, "the buddhists sing in the choir"), (2, "frauen lesen"), (3, "juden lesen")], "doc_id long, text string")
+    change, caught = {}, {}
+    for penalty in (0.0, 20.0):
+        m = toxicity.fit(d, labels, penalty=penalty)
+        assert m["swaps"] >= 400
+        p = {r["doc_id"]: r["score"] for r in toxicity.score(probes, m).collect()}
+        change[penalty] = max(abs(p[0] - p[1]), abs(p[2] - p[3]))
+        # held-out rows of the plain texts
+        t = toxicity.score(sf[0], toxicity.fit(*sf, penalty=penalty)).join(labels, "doc_id").where("toxic is not null").where(held_out(F.col("doc_id"))).toPandas()
+        caught[penalty] = ((t.score >= 0.5) == (t.toxic == 1)).mean()
+    assert change[0.0] > 0.1 and change[20.0] < change[0.0] / 3
+    assert caught[20.0] >= caught[0.0] - 1e-9
+
+
+def test_repeated_rows_and_empty_tables(spark, sf):
+    model = toxicity.fit(*sf)
+    d = spark.createDataFrame([(1, "idiot trash", 1.0), (1, "idiot trash", 2.0), (2, None, 0.0), (None, "", 0.0), (3, "word " * 200_000, 0.0)], "doc_id long, text string, score double")
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(d, model).collect()]
+    assert len(got) == 5 and len({s for k, s in got if k == 1}) == 1 and len({s for k, s in got if k in (2, None)}) == 1
+    assert toxicity.predict(sf[0].where("false"), sf[1].where("false")).count() == 0
