@@ -16,8 +16,9 @@ Bucket and centre keys can be hot: they meet in sort-merge joins that adaptive e
 min and max alone. The chance to miss a pair at the threshold is (1 - t^5)^25: 4e-7 at 0.85 and 5e-5 at 0.8.
 
 Defined cases: null text, or one without words, has an empty set and is linked with nothing; a text with fewer words
-than a shingle has its whole sequence as its one shingle; repeated ids are one document in links; a null id has a null
-component and is kept; other columns are ignored by `near_duplicates` and kept by `accept`.
+than a shingle has its whole sequence as its one shingle; a very long text is one set; rows that repeat an id with
+another text are documents of their own; a null id has a null component and is kept; of equal sets the smallest id leads;
+other columns are ignored by `near_duplicates` and kept by `accept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def odd_limit(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set, null if empty), bands, odd."""
+    """doc_id, th (hash of the text), n_shingles, cls (digest of the set, null if empty), bands, odd."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashing = Hashing()
@@ -112,45 +113,68 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         rows.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), hashing.bands(low), hashing.odd(low)))
                     else:
                         rows.append((0, None, None, None))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "cls", "bands", "odd"))}})
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "th": b["th"].to_numpy(), **{c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "cls", "bands", "odd"))}})
 
     small_batches(docs.sparkSession)
-    return pick(docs, "doc_id", "text").mapInPandas(lean(run, "word hashes"), "doc_id long, n_shingles long, cls string, bands array<long>, odd array<long>")
+    texts = pick(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    return texts.mapInPandas(lean(run, "word hashes"), "doc_id long, th long, n_shingles long, cls string, bands array<long>, odd array<long>")
 
 
 FILTER_BITS = (1 << 25) - 39  # a prime
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, set: the shingle sets of the documents named in ids(id).
+def shared_ids(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """classes with `rep`, a number of its own for each class: its smallest id (`lead`), or, where several classes have
+    that one, a number below all ids for all but one of them. Then the classes (rep, lead, cls) of such ids, or None."""
+    twice = classes.groupBy("lead").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("least")).where("k > 1").drop("k")
+    twice = materialise(twice)
+    if twice.isEmpty():
+        return classes.withColumn("rep", F.col("lead")), None
+    low = classes.agg(F.min("lead")).first()[0]
+    other = materialise(classes.select("cls", "lead").join(twice, "lead").where("cls != least").select("cls", (F.lit(low - 1) - F.monotonically_increasing_id()).alias("own")))
+    out = materialise(classes.join(other, "cls", "left").withColumn("rep", F.coalesce("own", "lead")).drop("own"))
+    return out, materialise(out.join(twice.select("lead"), "lead", "left_semi").select("rep", "lead", "cls"))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, size: int, shared: DataFrame | None = None) -> DataFrame:
+    """id, set: the shingle sets of the classes numbered in ids(id).
 
     A bitmap of FILTER_BITS places (4 MB, whatever the number of ids) goes to the scan of the texts, so that about only
     the named documents' sets are shuffled to the exact semi-join; a full bitmap would only let more sets through.
     """
-    words = ids.selectExpr(f"cast(pmod(id, {FILTER_BITS}) div 64 as int) as w", f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)) as b")
+    if shared is not None:  # a number may stand for one of several texts of an id
+        ids = materialise(ids.join(shared.withColumnRenamed("rep", "id"), "id", "left").select("id", F.coalesce("lead", "id").alias("doc"), F.col("cls").alias("own")))
+    words = ids.withColumn("id", F.col("id" if shared is None else "doc")).selectExpr(f"cast(pmod(id, {FILTER_BITS}) div 64 as int) as w", f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)) as b")
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bitmap = np.zeros(FILTER_BITS // 64 + 1, np.int64)
     bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    named_bits = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
+        bits = named_bits.value
         for whole in batches:
             at = np.mod(whole["id"].to_numpy(np.int64), FILTER_BITS)
             named = whole[(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)) == 1]
             for i in range(0, len(named), 1000):
                 b = named.iloc[i : i + 1000]
-                yield pd.DataFrame({"id": b["id"], "set": [shingles(t, size).view(np.int64) for t in b["text"]]})
+                sets = [shingles(t, size) for t in b["text"]]
+                found = {"id": b["id"], "set": [s.view(np.int64) for s in sets]}
+                yield pd.DataFrame(found if plain else found | {"digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]})
 
+    plain = shared is None
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return texts.mapInPandas(lean(run, "word hashes"), "id long, set array<long>").join(ids, "id", "left_semi")
+    got = texts.mapInPandas(lean(run, "word hashes"), "id long, set array<long>" + ("" if plain else ", digest string"))
+    if plain:
+        return got.join(ids, "id", "left_semi")
+    both = got.withColumnRenamed("id", "doc").join(ids, "doc").where("own is null or own = digest")
+    return both.select("id", "set").dropDuplicates(["id"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     pairs = materialise(pairs)
     ids = materialise(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct())
-    sets = materialise(full_sets(docs, ids, size))
+    sets = materialise(full_sets(docs, ids, size, shared))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
@@ -173,9 +197,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(small.distinct())
 
 
-def confirm_roots(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm_roots(docs: DataFrame, pairs: DataFrame, size: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
     """Links between components: (ra, rb) of the pairs (a, b, ra, rb) that full sets confirm."""
-    good = confirm(docs, pairs.select("a", "b"), size, percent)
+    good = confirm(docs, pairs.select("a", "b"), size, percent, shared)
     return good.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
@@ -186,11 +210,11 @@ def merged_roots(classes: DataFrame, known: DataFrame, links: DataFrame) -> Data
     return rows.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, cls, root (a number of the component), component_id (null for a null id) of every row."""
     sig = materialise(signatures(docs, size))
-    classes = sig.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    classes = materialise(classes)
+    classes = sig.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    classes, shared = shared_ids(materialise(classes))
     rows = classes.select("rep", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
     members = materialise(rows.join(buckets, "band"))
@@ -200,12 +224,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     close = lambda pairs: pairs.join(tell("b", 2), "b").join(tell("a", 1), "a").where(near)
     # one pair a class: with the smallest of its centres
     stars = members.groupBy("rep").agg(F.min("centre").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
-    first = materialise(components(confirm(docs, close(stars).select("a", "b"), size, percent)))
+    first = materialise(components(confirm(docs, close(stars).select("a", "b"), size, percent, shared)))
     # then with the other centres of its buckets, where they are in another component still
     rooted = lambda df, name, root: df.join(first.select(F.col("node").alias(name), F.col("root").alias(root)), name, "left").withColumn(root, F.coalesce(root, name))
     others = rooted(rooted(members.where("rep != centre").select("rep", "centre").distinct(), "rep", "ra"), "centre", "rb").where("ra != rb")
     others = materialise(others.select(F.col("centre").alias("a"), F.col("rep").alias("b"), "ra", "rb").distinct())
-    first = materialise(merged_roots(classes, first, confirm_roots(docs, close(others), size, percent)))
+    first = materialise(merged_roots(classes, first, confirm_roots(docs, close(others), size, percent, shared)))
     # what is left: buckets whose members lie in different components
     placed = members.select("band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = materialise(placed)
@@ -217,15 +241,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # each pair once: in the first band that both share
     once = "not arrays_overlap(slice(k1, 1, i - 1), slice(k2, 1, i - 1))"
     rest = one.join(two, "band").where("ra < rb").where(near).where(once).select("a", "b", "ra", "rb").distinct()
-    last = merged_roots(classes, first, confirm_roots(docs, materialise(rest), size, percent))
-    merged = classes.select("cls", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("root", "rep").alias("top"))
-    out = sig.select("doc_id", "n_shingles", "cls").join(merged, "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    last = merged_roots(classes, first, confirm_roots(docs, materialise(rest), size, percent, shared))
+    merged = classes.select("cls", "rep", "lead").join(last.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "lead", F.coalesce("root", "rep").alias("root"))
+    if shared is None:
+        merged = merged.select("cls", "root", F.col("root").alias("top"))
+    else:
+        merged = merged.join(merged.groupBy("root").agg(F.min("lead").alias("top")), "root").select("cls", "root", "top")
+    out = sig.select("doc_id", "th", "n_shingles", "cls").join(merged, "cls", "left")
+    return out.select("doc_id", "th", "n_shingles", "cls", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return classified(docs, size, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def accept(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates (the one with the smallest id), with the columns of docs."""
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates, with the columns of docs: one with the smallest id, and of several such
+    texts that of the smallest digest. Rows without an id or without words are in no group and stay, all of them."""
+    first = classified(docs, size, percent).where("cls is not null and doc_id = component_id").groupBy("root").agg(F.min(F.struct("cls", "th", "doc_id")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("__kept"), F.col("x.th").alias("__kept_text"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = docs.where(~alone).withColumn("__text", F.xxhash64("text"))
+    named = texts.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where(alone))

@@ -1,0 +1,47 @@
+"""Rows that share an id; recall of the signatures at the thresholds."""
+
+import numpy as np
+import pytest
+
+from beliefmesh.llm import neardup
+
+
+def text(seed, n=60):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n))
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b, c = text(1), text(2), text(3)
+    rows = [(3, a, "x"), (3, b, "y"), (4, b, "z"), (2, c, "u"), (3, c.upper(), "v"), (5, "", "e"), (5, None, "e"), (None, a, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.accept(d).collect()), key=str)
+    # one text of each of the groups {a}, {b of 3, b of 4}, {c of 2, c of 3}; rows without words or id stay
+    assert got == sorted([(3, a), (3, b), (2, c), (5, ""), (5, None), (None, a)], key=str)
+    near = neardup.near_duplicates(d.withColumnRenamed("th", "cls")).collect()
+    assert len(near) == len(rows) and sorted(str(r["component_id"]) for r in near) == sorted(["3", "3", "3", "2", "2", "5", "5", "None"])
+
+
+def test_unique_text_is_not_lost_to_a_copy_with_its_id(spark):
+    own, copied = text(5), text(6)
+    d = spark.createDataFrame([(7, own), (7, copied), (1, copied)], "doc_id long, text string")
+    assert {r["text"] for r in neardup.accept(d).collect()} == {own, copied}
+    # near copies of each of two texts of one id, which are linked through full sets
+    edit = lambda t: " ".join(t.split()[:-1])
+    d = spark.createDataFrame([(7, own), (7, copied), (8, edit(own)), (9, edit(copied))], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(d).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7)}
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.accept(d).collect()) == sorted([(7, own), (7, copied)])
+
+
+@pytest.mark.parametrize(("percent", "common", "total"), [(85, 170, 200), (80, 160, 200)])
+def test_recall_at_the_threshold(percent, common, total):
+    hashing, rng, found, n = neardup.Hashing(), np.random.default_rng(percent), 0, 2000
+    limit = neardup.odd_limit(percent)
+    for _ in range(n):
+        s = rng.integers(0, 1 << 63, total, np.uint64)
+        half = common + (total - common) // 2
+        low = [hashing.samples(x) for x in (s[:half], np.concatenate([s[:common], s[half:]]))]
+        same = (hashing.bands(low[0]) == hashing.bands(low[1])).any()
+        o = [hashing.odd(x).view(np.uint64) for x in low]
+        found += bool(same and np.bitwise_count(o[0] ^ o[1]).sum() <= limit)
+    assert found >= n - 2
