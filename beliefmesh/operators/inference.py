@@ -2,29 +2,33 @@
 
 A network is a row: graph_id and vars, an array in topological order of (name, base, links), a link being (parent,
 type, a, b): type requires, supports or refutes with strength a; observes with sensitivity a and false pass b; or
-exclusive, a constraint that its parents aren't both true, observed true.
+exclusive, a constraint that its parents aren't both true, observed true. `members`, where vars have it, are further
+names of a variable.
 
 P(X = 1 | parents) = N (base S + 1 - S) I with N, S, I the products of the requires, supports and refutes gates.
 
-Two physical paths give the same answers: `enumerate_worlds`, a relational plan over explode(worlds) for networks of
-few variables, all in built-in expressions; and `eliminate`, variable elimination with a min-fill order in numpy on
-Python workers, one network at a time in Arrow batches, guarded by the size of its largest factor. Neither shuffles:
-both work row by row on networks.
+Physical paths that give the same answers: `star_probability`, the closed form of independent premises;
+`enumerate_worlds`, a fold over the worlds of a row in built-in expressions, for networks of few variables; and
+`eliminate`, variable elimination in numpy on Arrow batches (see `solver`), where networks of one shape are solved
+together. All work row by row on networks: none shuffles, and a bad network gives a row with an error. `mass` is the
+textbook elimination over whole tables, which tests hold the others against.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beliefmesh.operators import solver
+from beliefmesh.operators.solver import MAX_FACTOR, TooLargeError, min_fill
+
 MAX_FREE = 20
-MAX_FACTOR = 1 << 22
 
 
 def star_probability(at: str = "-1", p: str = "x.p", s: str = "x.s", b: str = "b") -> str:
@@ -37,30 +41,37 @@ def star_probability(at: str = "-1", p: str = "x.p", s: str = "x.s", b: str = "b
         'i', acc.i * if(x.type = 'refutes', 1 - {S} * {P}, 1D)), acc -> acc.n * ({b} * acc.s + (1 - acc.s)) * acc.i)"""
 
 
-def enumerate_worlds(networks: DataFrame, target: str, given: str = "cast(map() as map<string,boolean>)", do: str = "cast(map() as map<string,boolean>)") -> DataFrame:
+NONE = "cast(map() as map<string,boolean>)"
+
+
+def enumerate_worlds(networks: DataFrame, target: str, given: str = NONE, do: str = NONE) -> DataFrame:
     """graph_id, answer, error. target, given, do: SQL for maps from names to values.
 
-    error: `too-large` beyond MAX_FREE variables, `zero-probability` for impossible evidence.
+    Each row folds over its own worlds, numbered by the bits of its variables; names are resolved once a row, not once a
+    world. error: `too-large` beyond MAX_FREE variables, `zero-probability` for impossible evidence.
     """
     rows = networks.select("graph_id", "vars", F.expr(target).alias("target"), F.expr(given).alias("given"), F.expr(do).alias("do"))
-    fits = rows.withColumn("fits", F.size("vars") <= MAX_FREE)
-    worlds = fits.withColumn("w", F.explode(F.expr("if(fits, sequence(0L, shiftleft(1L, size(vars)) - 1), array(-1L))")))
     bit = lambda i: f"(shiftright(w, {i}) & 1L) = 1"
-    gate = f"""aggregate(v.links, named_struct('n', 1D, 's', 1D, 'i', 1D, 'o', cast(null as double), 'e', 0), (g, l) -> named_struct(
+    # per variable: bit, base, links, whether it is a constraint, and what the query says of it
+    known = """transform(vars, (v, i) -> named_struct('i', i, 'base', v.base, 'links', v.links, 'not_all', exists(v.links, l -> l.type = 'exclusive'),
+        'set', do[v.name], 'want', target[v.name], 'seen', if(exists(v.links, l -> l.type = 'exclusive'), true, given[v.name])))"""
+    gate = f"""aggregate(v.links, named_struct('n', 1D, 's', 1D, 'i', 1D, 'o', cast(null as double), 'all', true), (g, l) -> named_struct(
         'n', g.n * if(l.type = 'requires' and not {bit('l.parent')}, 1 - l.a, 1D), 's', g.s * if(l.type = 'supports' and {bit('l.parent')}, 1 - l.a, 1D),
         'i', g.i * if(l.type = 'refutes' and {bit('l.parent')}, 1 - l.a, 1D), 'o', if(l.type = 'observes', if({bit('l.parent')}, l.a, l.b), g.o),
-        'e', g.e + if(l.type = 'exclusive', if({bit('l.parent')}, 1, -1), 0)),
-        g -> if(exists(v.links, l -> l.type = 'exclusive'), if(g.e = size(v.links), 0D, 1D), coalesce(g.o, g.n * (v.base * g.s + (1 - g.s)) * g.i)))"""
-    one = f"case when do[v.name] is null then {gate} when do[v.name] then 1D else 0D end"
-    mass = f"aggregate(transform(vars, (v, i) -> if({bit('i')}, {one}, 1 - {one})), 1D, (a, x) -> a * x)"
-    kept = f"forall(vars, v -> not exists(v.links, l -> l.type = 'exclusive') or {bit('cast(array_position(vars.name, v.name) as int) - 1')})"
-    agrees = lambda m: f"forall(vars, v -> {m}[v.name] is null or {m}[v.name] = ({bit('cast(array_position(vars.name, v.name) as int) - 1')}))"
-    held = worlds.where("w < 0 or " + f"({agrees('given')} and {kept})")
-    summed = held.groupBy("graph_id").agg(F.sum(F.expr(f"if(w < 0, null, {mass})")).alias("d"), F.sum(F.expr(f"if(w >= 0 and {agrees('target')}, {mass}, 0D)")).alias("a"), F.min("w").alias("w"))
-    return summed.select("graph_id", F.expr("if(w >= 0 and d > 0, least(1D, greatest(0D, a / d)), null)").alias("answer"), F.expr("case when w < 0 then 'too-large' when d is null or d <= 0 then 'zero-probability' end").alias("error"))
+        'all', g.all and {bit('l.parent')}),
+        g -> if(v.not_all, if(g.all, 0D, 1D), coalesce(g.o, g.n * (v.base * g.s + (1 - g.s)) * g.i)))"""
+    one = f"case when v.set is null then {gate} when v.set then 1D else 0D end"
+    # the mass of a world, 0 as soon as the evidence or a constraint rules it out; then whether it holds the target
+    mass = f"aggregate(known, 1D, (m, v) -> if(m = 0 or v.seen != ({bit('v.i')}), 0D, m * if({bit('v.i')}, {one}, 1 - {one})))"
+    holds = f"forall(known, v -> v.want is null or v.want = ({bit('v.i')}))"
+    total = f"""aggregate(sequence(0L, shiftleft(1L, size(known)) - 1), named_struct('d', 0D, 'a', 0D), (s, w) ->
+        aggregate(array({mass}), s, (t, m) -> if(m = 0, t, named_struct('d', t.d + m, 'a', t.a + if({holds}, m, 0D)))))"""
+    got = rows.withColumn("fits", F.size("vars") <= MAX_FREE).select("graph_id", "fits", F.expr(f"if(fits, {known}, null)").alias("known"))
+    got = got.select("graph_id", "fits", F.expr(f"if(fits, {total}, null)").alias("sums"))
+    return got.select("graph_id", F.expr("if(sums.d > 0, least(1D, greatest(0D, sums.a / sums.d)), null)").alias("answer"), F.expr("case when not fits then 'too-large' when sums.d is null or sums.d <= 0 then 'zero-probability' end").alias("error"))
 
 
-# the elimination path
+# whole tables
 
 
 def factor(v: int, var: dict, fixed: dict[int, bool]) -> tuple[list[int], np.ndarray]:
@@ -95,36 +106,12 @@ def factor(v: int, var: dict, fixed: dict[int, bool]) -> tuple[list[int], np.nda
     return [*parents, v], np.stack([1 - p, p], -1)
 
 
-def min_fill(scopes: list[set[int]], free: set[int]) -> list[int]:
-    """Elimination order: least fill-in, then least degree, then smallest index."""
-    near: dict[int, set[int]] = {}
-    for s in scopes:
-        for a in s:
-            near.setdefault(a, set()).update(s - {a})
-    order, left = [], set(free)
-    while left:
-        def cost(v: int) -> tuple[int, int, int]:
-            around = sorted(near.get(v, ()))
-            fill = sum(1 for i, a in enumerate(around) for b in around[i + 1 :] if b not in near[a])
-            return fill, len(around), v
-
-        v = min(left, key=cost)
-        around = near.pop(v, set())
-        for a in around:
-            near[a] |= around - {a}
-            near[a].discard(v)
-        left.discard(v)
-        order.append(v)
-    return order
-
-
-class TooLargeError(ValueError):
-    """A factor of an elimination would exceed the limit."""
-
-
 def mass(network: list[dict], evidence: dict[int, bool], fixed: dict[int, bool], limit: int = MAX_FACTOR) -> float:
-    """Probability of the evidence, constraints included, under the interventions."""
+    """Probability of the evidence, constraints included, under the interventions, by elimination over whole tables."""
     seen = dict(evidence)
+    widest = max((len({x["parent"] for x in var["links"]}) + 1 for v, var in enumerate(network) if v not in fixed), default=0)
+    if 1 << widest > limit:
+        raise TooLargeError(f"a table of 2^{widest} entries exceeds {limit}")
     for v, var in enumerate(network):
         if any(x["type"] == "exclusive" for x in var["links"]):
             if seen.get(v) is False:
@@ -140,46 +127,107 @@ def mass(network: list[dict], evidence: dict[int, bool], fixed: dict[int, bool],
         scope = sorted({s for sc, _ in touch for s in sc})
         if 1 << len(scope) > limit:
             raise TooLargeError(f"a factor of 2^{len(scope)} entries exceeds {limit}")
-        at = {s: i for i, s in enumerate(scope)}
-        args = [y for sc, t in touch for y in (t, [at[s] for s in sc])]
-        out = [s for s in scope if s != v]
-        tables = [x for x in tables if v not in x[0]] + [(out, np.einsum(*args, [at[s] for s in out]))]
+        sorted_tables = [(tuple(sorted(sc)), t.transpose(np.argsort(sc))[..., None]) for sc, t in touch]
+        joined = solver.product(sorted_tables, scope)[..., 0].sum(scope.index(v))
+        tables = [x for x in tables if v not in x[0]] + [([s for s in scope if s != v], joined)]
     return float(np.prod([t for _, t in tables]))
 
 
-def answer(network: list[dict], target: dict[str, bool], given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> tuple[float | None, str | None]:
-    name = {v["name"]: i for i, v in enumerate(network)}
-    try:
-        fixed = {name[k]: x for k, x in (do or {}).items()}
-        seen = {name[k]: x for k, x in (given or {}).items()}
-        want = {name[k]: x for k, x in target.items()}
-    except KeyError as e:
-        return None, f"unknown-node {e}"
-    try:
-        below = mass(network, seen, fixed)
-        if below <= 0:
-            return None, "zero-probability"
-        if any(seen.get(k, x) != x for k, x in want.items()):
-            return 0.0, None
-        return min(1.0, max(0.0, mass(network, {**seen, **want}, fixed) / below)), None
-    except TooLargeError:
-        return None, "too-large"
+# elimination over chains, by shape
+
+
 
 
 def plain(network) -> list[dict]:
-    return [{"name": v["name"], "base": v["base"], "links": list(v["links"])} for v in network]
+    return [{**v, "links": list(v["links"] if v["links"] is not None else ())} for v in network]
+
+
+def resolve(network: list[dict], *assignments: dict[str, bool] | None) -> list[dict[int, bool] | None]:
+    """The assignments by variable; None where two names of one variable get different values. KeyError: unknown name."""
+    at = {name: i for i, v in enumerate(network) for name in (v["name"], *(v.get("members") or ()))}
+    out: list[dict[int, bool] | None] = []
+    for names in assignments:
+        own: dict[int, bool] | None = {}
+        for k, x in (names or {}).items():
+            if own is not None and own.setdefault(at[k], bool(x)) != bool(x):
+                own = None
+        out.append(own)
+    return out
+
+
+def incomplete(network: list[dict]) -> str | None:
+    for v in network:
+        kinds = {x["type"] for x in v["links"]}
+        if not kinds & {"observes", "exclusive"} and (v["base"] is None or any(x["a"] is None for x in v["links"])):
+            return f"missing-parameter {v['name']!r}"
+        if "observes" in kinds and (len(v["links"]) != 1 or v["links"][0]["a"] is None or v["links"][0]["b"] is None):
+            return f"invalid-observation {v['name']!r}"
+        if any(x["parent"] is None or not 0 <= x["parent"] < len(network) for x in v["links"]):
+            return f"unknown-parent {v['name']!r}"
+    return None
+
+
+Asked = tuple[dict[str, bool], dict[str, bool] | None, dict[str, bool] | None]
+
+
+def answers(networks: list[list[dict]], asked: list[Asked], limit: int = MAX_FACTOR) -> list[tuple[float | None, str | None]]:
+    """(answer, error) of P(target | given, do) on each network, asked holding (target, given, do) by network. Evidence that
+    is empty, with no constraint, costs nothing."""
+    out: list[tuple[float | None, str | None]] = [(None, None)] * len(networks)
+    requests: list[solver.Request] = []
+    ratios: list[tuple[int, int | float, int | float]] = []  # row, numerator and denominator: numbers of requests, or values
+
+    def ask(network: list[dict], seen: dict[int, bool], fixed: dict[int, bool]) -> int:
+        requests.append((network, seen, fixed, ()))
+        return len(requests) - 1
+
+    for i, (network, (target, given, do)) in enumerate(zip(networks, asked, strict=True)):
+        if error := incomplete(network):
+            out[i] = None, error
+            continue
+        try:
+            want, seen, fixed = resolve(network, target, given, do)
+        except KeyError as e:
+            out[i] = None, f"unknown-node {e}"
+            continue
+        if fixed is None:
+            out[i] = None, "contradictory-intervention"
+        elif seen is None or any(seen.get(v) is False for v in solver.constraints(network)):
+            out[i] = None, "zero-probability"
+        else:
+            seen = {**seen, **solver.constraints(network)}
+            below = ask(network, seen, fixed) if seen else 1.0
+            if want is None or any(seen.get(k, x) != x for k, x in want.items()):
+                ratios.append((i, 0.0, below))
+            else:
+                ratios.append((i, below if want.items() <= seen.items() else ask(network, {**seen, **want}, fixed), below))
+    got = solver.masses(requests, limit)
+    value = lambda x: got[x] if isinstance(x, int) else x
+    for i, above, below in ratios:
+        n, d = value(above), value(below)
+        if n is None or d is None:
+            out[i] = None, "too-large"
+        else:
+            out[i] = (min(1.0, max(0.0, n / d)), None) if d > 0 else (None, "zero-probability")
+    return out
+
+
+def answer(network: list[dict], target: dict[str, bool], given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> tuple[float | None, str | None]:
+    return answers([network], [(target, given, do)])[0]
 
 
 def eliminate(networks: DataFrame, target: dict[str, bool], given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> DataFrame:
     """graph_id, answer, error by variable elimination; a failing network gives a row with an error."""
+    kind = dict(networks.dtypes)["graph_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [answer(plain(n), target, given, do) for n in b["vars"]]
-            yield pd.DataFrame({"graph_id": b["graph_id"], "answer": [x for x, _ in got], "error": [e for _, e in got]})
+            rows = b.column("vars").to_pylist()
+            nets = [plain(n or ()) for n in rows]
+            got = [(None, "no-network") if n is None else x for n, x in zip(rows, answers(nets, [(target, given, do)] * len(nets)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array([x for x, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], ["graph_id", "answer", "error"])
 
-    kind = dict(networks.dtypes)["graph_id"]
-    return networks.select("graph_id", "vars").mapInPandas(run, f"graph_id {kind}, answer double, error string")
+    return networks.select("graph_id", "vars").mapInArrow(run, f"graph_id {kind}, answer double, error string")
 
 
 # bands: the answer over draws of the Beta parameters
@@ -203,117 +251,63 @@ def drawn(network: list[dict], draws: int, rng: np.random.Generator) -> list[dic
     out = []
     for v in network:
         base = value(v, "base")
-        out.append({"name": v["name"], "base": base, "links": [{"parent": x["parent"], "type": x["type"], "a": value(x, "a"), "b": value(x, "b")} for x in v["links"]]})
+        out.append({**v, "base": base, "links": [{**x, "a": value(x, "a"), "b": value(x, "b")} for x in v["links"]]})
     return out if spread else None
 
 
-def gates(v: int, var: dict, hidden: int) -> list[tuple[list[int], np.ndarray]]:
-    """Factors of one variable over draws, the last axis. Its table is a sum of products over its parents, so each
-    parent has a factor of its own with the hidden variable that numbers the products: no table grows with 2^parents.
-
-    P(X = 1) = N I - (1 - base) N S I, P(X = 0) = 1 - N I + (1 - base) N S I; products 0: N I, 1: N S I, 2: 1.
-    """
-    links = var["links"]
-
-    def filled(shape: tuple[int, ...], *entries) -> np.ndarray:
-        t = np.empty((len(entries), max(np.size(x) for x in entries)))
-        for i, x in enumerate(entries):
-            t[i] = x
-        return t.reshape(*shape, -1)
-
-    if not links:
-        return [([v], filled((2,), 1 - var["base"], var["base"]))]
-    kinds = {x["type"] for x in links}
-    if "exclusive" in kinds:
-        both = [([p, hidden], filled((2, 3), 1.0, 0.0, 1.0, 1.0, 1.0, 1.0)) for p in sorted({x["parent"] for x in links})]
-        return [*both, ([hidden, v], filled((3, 2), 0.0, 0.0, 1.0, -1.0, 0.0, 1.0))]
-    if "observes" in kinds:
-        x = links[0]
-        return [([x["parent"], v], filled((2, 2), 1 - x["b"], x["b"], 1 - x["a"], x["a"]))]
-    out = []
-    for x in links:
-        cut = 1 - x["a"]
-        entries = {"requires": (cut, cut, 1.0, 1.0, 1.0, 1.0), "supports": (1.0, 1.0, 1.0, 1.0, cut, 1.0), "refutes": (1.0, 1.0, 1.0, cut, cut, 1.0)}[x["type"]]
-        out.append(([x["parent"], hidden], filled((2, 3), *entries)))
-    miss = 1 - var["base"]
-    return [*out, ([hidden, v], filled((3, 2), -1.0, 1.0, miss, -miss, 1.0, 0.0))]
-
-
-def product(tables: list[tuple[list[int], np.ndarray]], scope: list[int]) -> np.ndarray:
-    """Product of tables, whose own scopes are sorted, over a sorted scope."""
-    out = None
-    for own, t in tables:
-        t = t[(*(slice(None) if s in own else None for s in scope), slice(None))]
-        out = t if out is None else out * t
-    return out
-
-
-def masses(network: list[dict], evidence: dict[int, bool], draws: int, limit: int = MAX_FACTOR) -> np.ndarray:
-    """Probability of the evidence, constraints included, at each draw of a network from `drawn`."""
-    n, seen = len(network), dict(evidence)
-    for v, var in enumerate(network):
-        if any(x["type"] == "exclusive" for x in var["links"]):
-            if seen.get(v) is False:
-                return np.zeros(draws)
-            seen[v] = True
-    tables = []
-    for v, var in enumerate(network):
-        for scope, t in gates(v, var, n + v):
-            if scope != sorted(scope):
-                scope, t = scope[::-1], t.swapaxes(0, 1)
-            t = t[tuple(int(seen[s]) if s in seen else slice(None) for s in scope)]
-            tables.append(([s for s in scope if s not in seen], t))
-    order = min_fill([set(s) for s, _ in tables], {s for sc, _ in tables for s in sc})
-    size, scopes = 1, [set(s) for s, _ in tables]
-    for v in order:
-        joined = set().union(*(s for s in scopes if v in s))
-        scopes = [s for s in scopes if v not in s] + [joined - {v}]
-        size = max(size, math.prod(3 if s >= n else 2 for s in joined))
-    if size > limit:
-        raise TooLargeError(f"a factor of {size} entries exceeds {limit}")
-    out, step = np.empty(draws), max(1, limit // size)
-    for at in range(0, draws, step):
-        part = [(s, t[..., at : at + step] if t.shape[-1] > 1 else t) for s, t in tables]
-        for v in order:
-            touch = [x for x in part if v in x[0]]
-            scope = sorted({s for sc, _ in touch for s in sc})
-            part = [x for x in part if v not in x[0]] + [([s for s in scope if s != v], product(touch, scope).sum(scope.index(v)))]
-        out[at : at + step] = product(part, [])
-    return out
-
-
-def answers_over_draws(network: list[dict], target: dict[str, bool], draws: int) -> tuple[np.ndarray | None, str | None]:
-    """The answer at each draw, or an error."""
-    name = {v["name"]: i for i, v in enumerate(network)}
-    if missing := [k for k in target if k not in name]:
-        return None, f"unknown-node {missing[0]!r}"
+def answers_over_draws(network: list[dict], target: dict[str, bool], draws: int, given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> tuple[np.ndarray | None, str | None]:
+    """The answer at each draw of a network from `drawn`, NaN at draws where the evidence is impossible; or an error."""
+    if error := incomplete(network):
+        return None, error
+    try:
+        want, seen, fixed = resolve(network, target, given, do)
+    except KeyError as e:
+        return None, f"unknown-node {e}"
+    if fixed is None:
+        return None, "contradictory-intervention"
+    if seen is None:
+        return None, "zero-probability"
+    seen = {**seen, **solver.constraints(network)}
+    layout = solver.Layout(network)
+    rows = layout.rows()
+    for v, x in fixed.items():
+        for row in rows:
+            layout.fix(row, v, x)
     try:
-        below = masses(network, {}, draws) if any(x["type"] == "exclusive" for v in network for x in v["links"]) else 1.0
-        if np.any(below <= 0):
+        below = np.broadcast_to(layout.mass(rows, layout.seen(seen)), draws)
+        if np.all(below <= 0):
             return None, "zero-probability"
-        return np.clip(masses(network, {name[k]: x for k, x in target.items()}, draws) / below, 0.0, 1.0), None
+        if want is None or any(seen.get(k, x) != x for k, x in want.items()):
+            above = np.zeros(draws)
+        else:
+            above = np.broadcast_to(layout.mass(rows, layout.seen({**seen, **want})), draws)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(below > 0, np.clip(above / below, 0.0, 1.0), np.nan), None
     except TooLargeError:
         return None, "too-large"
 
 
-def band(graph_id, network: list[dict], target: dict[str, bool], draws: int, seed: int) -> tuple:
-    """q05, q50, q95, mean_over_draws, error; all null without a Beta parameter, as the answer can't move then."""
+def band(graph_id, network: list[dict], target: dict[str, bool], draws: int, seed: int, given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> tuple:
+    """q05, q50, q95, mean_over_draws, error; all null without a Beta parameter, as the answer can't move then. As in the
+    point answer, a draw that makes the evidence impossible is an error, which says how many draws did."""
     net = drawn(network, draws, np.random.default_rng([seed, zlib.crc32(str(graph_id).encode())]))
     if net is None:
         return None, None, None, None, None
-    values, error = answers_over_draws(net, target, draws)
+    values, error = answers_over_draws(net, target, draws, given, do)
+    if error is None and np.isnan(values).any():
+        error = f"zero-probability in {int(np.isnan(values).sum())} of {draws} draws"
     if error:
         return None, None, None, None, error
     return *map(float, np.quantile(values, [0.05, 0.5, 0.95])), float(values.mean()), None
 
 
-def bands(networks: DataFrame, target: dict[str, bool], draws: int = 1000, seed: int = 0) -> DataFrame:
+def bands(networks: DataFrame, target: dict[str, bool], draws: int = 1000, seed: int = 0, given: dict[str, bool] | None = None, do: dict[str, bool] | None = None) -> DataFrame:
     """graph_id, q05, q50, q95, mean_over_draws, error: quantiles of the exact answer over draws of every Beta parameter
     (see `drawn`); points keep their value. A failing network gives a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(g, *band(g, list(n), target, draws, seed)) for g, n in zip(b["graph_id"], b["vars"], strict=True)]
+            rows = [(g, *band(g, plain(n), target, draws, seed, given, do)) for g, n in zip(b["graph_id"], b["vars"], strict=True)]
             yield pd.DataFrame(rows, columns=["graph_id", "q05", "q50", "q95", "mean_over_draws", "error"])
 
     kind = dict(networks.dtypes)["graph_id"]

@@ -11,22 +11,9 @@ from beliefmesh.functions import credence, text
 from beliefmesh.operators import graphs, inference
 from beliefmesh.plans import families
 from beliefmesh.plans.families import table
+from beliefmesh.plans.registry import QUERIES, SQL, query, r6
 from beliefmesh.sources import graph_json
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -35,10 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def r6(c) -> F.Column:
-    return F.round(F.expr(c) if isinstance(c, str) else c, 6)
-
-
 # family F1: orders
 
 STAR = """prem AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k,
@@ -54,7 +37,6 @@ def gate(p: str = "p", s: str = "s") -> str:
 
 
 MARGINAL = f"WITH {STAR} SELECT g AS graph_id, round({gate()}, 6) AS p_claim FROM prem JOIN claim USING (g) GROUP BY g, b"
-SMALL = MARGINAL + " HAVING count(*) <= 8"
 
 
 @query(MARGINAL)
@@ -62,13 +44,6 @@ def marginal_closed(spark, sf_dir):
     return families.order_stars(spark, sf_dir).select("graph_id", r6(inference.star_probability()).alias("p_claim"))
 
 
-@query(SMALL)
-def marginal_enumerated(spark, sf_dir):
-    """Orders of at most 8 premises, as in its SQL; marginal_enumerated_all has all."""
-    got = inference.enumerate_worlds(families.order_networks(spark, sf_dir, 8), "map('claim', true)")
-    return got.select("graph_id", r6("answer").alias("p_claim"))
-
-
 @query(MARGINAL)
 def marginal_enumerated_all(spark, sf_dir):
     """The operator's own limit of variables alone decides: an order beyond it has a null."""
@@ -92,13 +67,6 @@ def conditional_premise_given_claim(spark, sf_dir):
     return families.order_stars(spark, sf_dir).select("graph_id", r6(f"ps[0].p * ({inference.star_probability('1', '1D')}) / nullif({inference.star_probability()}, 0D)").alias("p_premise"))
 
 
-@query(f"WITH {STAR}, few AS (SELECT g FROM prem GROUP BY g HAVING count(*) <= 8) SELECT g AS graph_id, round(any_value(p1) * ({gate('CASE WHEN k = 1 THEN 1 ELSE p END')}) / nullif({gate()}, 0), 6) AS p_premise FROM (SELECT *, first_value(p) OVER (PARTITION BY g ORDER BY k) AS p1 FROM prem WHERE g IN (FROM few)) JOIN claim USING (g) GROUP BY g, b")
-def conditional_enumerated(spark, sf_dir):
-    """Orders of at most 8 premises, as in its SQL; conditional_enumerated_all has all."""
-    got = inference.enumerate_worlds(families.order_networks(spark, sf_dir, 8), "map('p1', true)", "map('claim', true)")
-    return got.select("graph_id", r6("answer").alias("p_premise"))
-
-
 @query(SQL["conditional_premise_given_claim"])
 def conditional_enumerated_all(spark, sf_dir):
     """The operator's own limit of variables alone decides: an order beyond it has a null."""
@@ -139,12 +107,6 @@ def failure_impact(spark, sf_dir):
     return p.where("base > 0").select("graph_id", F.col("k").cast("long").alias("k"), r6("failed").alias("p_if_false"), r6("failed / base").alias("ratio"))
 
 
-@query(f"{EACH}, t AS ({FAIL}) SELECT g AS graph_id, kk AS k, round(failed, 6) AS p_if_false FROM t WHERE failed < 0.1 * base * (1 - 1e-12)")
-def spof(spark, sf_dir):
-    p = per_premise(spark, sf_dir).select("graph_id", "k", F.expr(inference.star_probability("own.k", "0D")).alias("failed"), F.expr(inference.star_probability()).alias("base"))
-    return p.where("failed < 0.1D * base * (1 - 1e-12D)").select("graph_id", F.col("k").cast("long").alias("k"), r6("failed").alias("p_if_false"))
-
-
 def bits(w: str, p: str, q: str) -> str:
     return f"CASE WHEN {w} > 0 AND {p} > 0 THEN {w} * {p} * log2({p} / {q}) ELSE 0 END"
 
@@ -181,7 +143,6 @@ def crux_rank(spark, sf_dir):
 
 
 HEAVY_ALL = """two AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, k) AS h FROM prem QUALIFY count(*) OVER (PARTITION BY g) >= 2)"""
-HEAVY = """two AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, k) AS h FROM prem QUALIFY count(*) OVER (PARTITION BY g) BETWEEN 2 AND 8)"""
 
 
 PAIR = f"cases(v1, v2) AS (VALUES (0, 0), (0, 1), (1, 0)), c AS (SELECT g, v1, v2, any_value(CASE WHEN h = 1 THEN p END) AS x1, max(CASE WHEN h = 1 THEN p END) AS p1, max(CASE WHEN h = 2 THEN p END) AS p2, {gate('CASE h WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE p END')} AS pc FROM two JOIN claim USING (g), cases GROUP BY g, b, v1, v2), w AS (SELECT *, (CASE v1 WHEN 1 THEN p1 ELSE 1 - p1 END) * (CASE v2 WHEN 1 THEN p2 ELSE 1 - p2 END) AS wt FROM c) SELECT g AS graph_id, round(sum(wt * pc) / sum(wt), 6) AS p_claim FROM w GROUP BY g"
@@ -194,12 +155,6 @@ def tied_pair(nets: DataFrame) -> DataFrame:
     return inference.eliminate(tied, {"claim": True}).select("graph_id", r6("answer").alias("p_claim"))
 
 
-@query(f"WITH {STAR}, {HEAVY}, {PAIR}")
-def exclusive_pair(spark, sf_dir):
-    """Orders of 2 to 8 premises, as in its SQL; exclusive_pair_all has all."""
-    return tied_pair(families.order_networks(spark, sf_dir, 8).where("size(vars) >= 3"))
-
-
 @query(f"WITH {STAR}, {HEAVY_ALL}, {PAIR}")
 def exclusive_pair_all(spark, sf_dir):
     return tied_pair(families.order_networks(spark, sf_dir).where("size(vars) >= 3"))
@@ -313,11 +268,6 @@ def dangling_endpoints(spark, sf_dir):
     return graphs.dangling_endpoints(*tree(spark, sf_dir)).select("relation", "node")
 
 
-@query("SELECT 'n' || n_nationkey AS id FROM nation WHERE false")
-def unanchored(spark, sf_dir):
-    return graphs.unanchored(*tree(spark, sf_dir)).select("id")
-
-
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS graph_id, CAST(l_linenumber AS VARCHAR) AS id, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_linenumber").cast("string").alias("id"))
@@ -339,20 +289,12 @@ def dependencies(spark, sf_dir):
     return graphs.dependencies(relations, targets).groupBy("target").agg(F.count(F.lit(1)).alias("relations"))
 
 
-
-
 @query("SELECT l_partkey AS part, min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, (min(l_quantity) >= 5 AND max(l_quantity) <= 45) AS inside FROM lineitem GROUP BY l_partkey")
 def scope_containment(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.min("l_quantity").cast("double").alias("lo"), F.max("l_quantity").cast("double").alias("hi"))
     return g.withColumn("inside", text.contains_interval(F.lit(5.0), F.lit(45.0), F.col("lo"), F.col("hi")))
 
 
-@query("SELECT * FROM (VALUES ('m/s', '1,0,-1,0,0,0,0'), ('kg m^2/s^2', '2,1,-2,0,0,0,0'), ('V', '2,1,-3,-1,0,0,0'), ('1/s', '0,0,-1,0,0,0,0')) t(unit, powers)")
-def unit_dimension(spark, sf_dir):
-    u = spark.createDataFrame([("m/s",), ("kg m^2/s^2",), ("V",), ("1/s",)], "unit string")
-    return u.select("unit", F.array_join(F.transform(text.unit_dimension(F.col("unit")), lambda x: x.cast("string")), ",").alias("powers"))
-
-
 @query("SELECT doc_id, lang || '-' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS VARCHAR), length(CAST(count(*) OVER (PARTITION BY lang) AS VARCHAR))::INT, '0') AS chunk FROM documents")
 def chunk_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -367,13 +309,6 @@ def coverage(spark, sf_dir):
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.count("quality") / F.count(F.lit(1)).cast("double")).alias("assessed"))
 
 
-@query("SELECT item_id, contains((SELECT string_agg(r_name, ' ') FROM region), r.r_name) AS found FROM benchmark, region r WHERE r.r_regionkey = item_id % 5")
-def citation_found(spark, sf_dir):
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.col("r_name").alias("quote"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).cast("int").alias("r_regionkey"))
-    return b.join(r, "r_regionkey").select("item_id", F.contains(F.col("r_name"), text.normalise_text(F.col("quote"))).alias("found"))
-
-
 NORM = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
 
 
@@ -409,3 +344,6 @@ def graph_json_round_trip(spark, sf_dir):
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), r6(F.sum("base.p")).alias("bases"), F.sum("stated.alpha").alias("alphas"))
     r = relations.groupBy("graph_id").agg(F.count("strength.alpha").alias("relations"))
     return n.join(r, "graph_id", "left").fillna(0, ["relations"])
+
+
+from beliefmesh.plans import graph_queries  # noqa: E402, F401 - registers its queries

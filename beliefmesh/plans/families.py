@@ -30,12 +30,9 @@ def order_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return premises.join(order_claims(spark, sf_dir), "graph_id")
 
 
-def order_networks(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def order_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stars as networks (see operators.inference): variable 0..n-1 the premises, n the claim."""
-    stars = order_stars(spark, sf_dir)
-    if most is not None:
-        stars = stars.where(F.size("ps") <= most)
-    return stars.select("graph_id", F.expr("""concat(
+    return order_stars(spark, sf_dir).select("graph_id", F.expr("""concat(
         transform(ps, x -> named_struct('name', concat('p', x.k), 'base', x.p, 'links', cast(array() as array<struct<parent:int,type:string,a:double,b:double>>))),
         array(named_struct('name', 'claim', 'base', b, 'links', transform(ps, (x, i) -> named_struct('parent', i, 'type', x.type, 'a', x.s, 'b', 0D)))))""").alias("vars"))
 
@@ -45,3 +42,20 @@ def order_beta_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_stars(spark, sf_dir).select("graph_id", F.expr("""concat(
         transform(ps, x -> named_struct('name', concat('p', x.k), 'base', x.p, 'links', cast(array() as array<struct<parent:int,type:string,a:double,b:double,a_beta:struct<alpha:double,beta:double>>>))),
         array(named_struct('name', 'claim', 'base', b, 'links', transform(ps, (x, i) -> named_struct('parent', i, 'type', x.type, 'a', x.s, 'b', 0D, 'a_beta', named_struct('alpha', 1D + x.ln, 'beta', 2D))))))""").alias("vars"))
+
+
+def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as node and relation tables: premises p1, p2, ... under `claim`, which is stated at 0.5. Strengths are ten
+    times the discount, so that some are exactly 0 or 1; premises of even suppliers name a document."""
+    line = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    kind = F.expr("case l_returnflag when 'A' then 'requires' when 'N' then 'supports' else 'refutes' end")
+    k = F.row_number().over(order)
+    doc = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("d"), F.col("l_partkey") % 3))
+    rows = line.select(F.col("l_orderkey").alias("graph_id"), k.alias("k"), kind.alias("type"), (F.col("l_quantity").cast("double") / 51).alias("p"), (F.col("l_discount").cast("double") * 10).alias("s"), doc.alias("doc"))
+    anchor = "named_struct('document', doc, 'locator', cast(null as string), 'quote', cast(null as string), 'digest', cast(null as string))"
+    premises = rows.select("graph_id", F.col("k").cast("long").alias("ord"), F.concat(F.lit("p"), "k").alias("id"), F.col("p").alias("base"), F.lit(None).cast("double").alias("stated"), F.expr(f"if(doc is null, cast(array() as array<struct<document:string,locator:string,quote:string,digest:string>>), array({anchor}))").alias("sources"))
+    claims = order_claims(spark, sf_dir).join(rows.select("graph_id").distinct(), "graph_id", "left_semi")
+    claims = claims.select("graph_id", F.lit(0).cast("long").alias("ord"), F.lit("claim").alias("id"), F.col("b").alias("base"), F.lit(0.5).alias("stated"), F.lit(None).cast(premises.schema["sources"].dataType).alias("sources"))
+    relations = rows.select("graph_id", F.col("k").cast("long").alias("ord"), F.concat(F.lit("r"), "k").alias("id"), "type", F.concat(F.lit("p"), "k").alias("source"), F.lit("claim").alias("target"), F.col("s").alias("strength"))
+    return claims.unionByName(premises), relations
