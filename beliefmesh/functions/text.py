@@ -1,21 +1,35 @@
-"""Text functions: normal form, digest, numerals, units, sentence ends, citation keys."""
+"""Text functions: normal form, digest, numerals, units, references, sentence ends, intervals, citation keys.
+
+Where a rule needs look-behind, decimal arithmetic or Unicode forms that built-in functions lack, the function is plain
+Python on Arrow batches; the plain form stands beside it, for use within one graph.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from decimal import Decimal, InvalidOperation
+from collections.abc import Iterator
+from decimal import Decimal
+from itertools import count, product
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType
 
 
 def normalise(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFC", text).split())
 
 
+def digest_of(text: str) -> str:
+    import hashlib
+
+    return "sha256:" + hashlib.sha256(normalise(text).encode()).hexdigest()
+
+
 @F.pandas_udf(StringType())
 def normalise_text(s: pd.Series) -> pd.Series:
     """NFC, runs of white space as one space, trimmed; null stays null."""
@@ -30,60 +44,222 @@ def file_digest(data: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
-NUMERAL = re.compile(r"(?<![\w.])[-−+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-−+]?\d+)?\s?%?")
+# fixed values: what numerals are made of
+SIGN = "[+\\-−]"
+GROUP = "(?:,|\u2009|\u202f|\\\\,)"
+EXPONENT = rf"[eE]({SIGN}?\d+)|\s*(?:×|\\times)\s*10\s*\^\s*(?:\{{\s*({SIGN}?\d+)\s*\}}|({SIGN}?\d+))"
+NUMERAL = re.compile(rf"((?<![\w.]){SIGN})?(?<![\w.])(\d{{1,3}}(?:{GROUP}\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:{EXPONENT})?(\s*\\?%)?")
+UNGROUP = re.compile(GROUP)
 
 
 def numerals_of(text: str | None) -> list[float]:
-    """The distinct values of a text's numerals: grouped thousands, exponents, per cent, Unicode minus."""
+    """The distinct values of a text's numerals, ascending: grouped thousands, exponents, Unicode minus. One with a percent
+    sign stands for its value and a hundredth of it. Decimal arithmetic, rounded once."""
     out = set()
-    for m in NUMERAL.findall(text or ""):
-        raw = m.replace("−", "-").replace(",", "").strip()
-        share = raw.endswith("%")
-        try:
-            value = Decimal(raw.rstrip("% "))
-        except InvalidOperation:
-            continue
-        out.add(float(value / 100 if share else value))
+    for found in NUMERAL.finditer(text or ""):
+        sign, digits, *exponents, percent = found.groups()
+        value = Decimal(UNGROUP.sub("", digits))
+        shift = next((x for x in exponents if x), None)
+        if shift:
+            value = value.scaleb(int(shift.replace("−", "-")))
+        if sign and sign != "+":
+            value = -value
+        out |= {float(value), float(value / 100)} if percent else {float(value)}
     return sorted(out)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def numerals(s: pd.Series) -> pd.Series:
-    return s.map(numerals_of)
+    return s.map(numerals_of, na_action="ignore")
 
 
 def has_numeral(text: Column, value: Column) -> Column:
-    return F.array_contains(numerals(text), value)
+    return F.array_contains(numerals(text), value.cast("double"))
+
+
+# fixed values: operators that join symbols into one unit, which a single symbol of it isn't a token of
+JOINERS = "/^*_·⋅×"
+
+
+def unit_in(text: str, unit: str) -> bool:
+    side = rf"[^\W_]|[{re.escape(JOINERS)}]"
+    before = f"(?<!{side})" if unit[:1].isalnum() else ""
+    after = f"(?!{side})" if unit[-1:].isalnum() else ""
+    return re.search(before + re.escape(unit) + after, text) is not None
 
 
 def has_unit(text: Column, unit: Column) -> Column:
-    """The unit stands as a token of its own."""
-    return F.rlike(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), unit, F.lit(r"\E(?![\p{L}\p{N}_])")))
+    """The unit stands as a token: where it begins or ends with a letter or digit, none of those nor a joiner is next to it."""
+    side = r"[\p{L}\p{N}" + re.escape(JOINERS) + "]"
+    quoted = F.concat(F.lit(r"\Q"), F.replace(unit, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    before = F.when(F.rlike(unit, F.lit(r"^[\p{L}\p{N}]")), F.lit(f"(?<!{side})")).otherwise(F.lit(""))
+    after = F.when(F.rlike(unit, F.lit(r"[\p{L}\p{N}]$")), F.lit(f"(?!{side})")).otherwise(F.lit(""))
+    return F.rlike(text, F.concat(before, quoted, after))
+
+
+# fixed values: the commands that refer to an equation
+REFERENCES = ("ref", "eqref", "cref", "Cref")
+
+
+def eqref_in(text: str, label: str) -> bool:
+    return f"({label})" in text or any(f"\\{c}{{{label}}}" in text for c in REFERENCES)
 
 
 def has_eqref(text: Column, label: Column) -> Column:
-    forms = [F.concat(F.lit(f"\\{c}{{"), label, F.lit("}")) for c in ("ref", "eqref", "cref", "Cref")] + [F.concat(F.lit("("), label, F.lit(")"))]
-    out = F.contains(text, forms[0])
-    for f in forms[1:]:
-        out = out | F.contains(text, f)
+    out = F.contains(text, F.concat(F.lit("("), label, F.lit(")")))
+    for c in REFERENCES:
+        out = out | F.contains(text, F.concat(F.lit(f"\\{c}{{"), label, F.lit("}")))
     return out
 
 
+def unfaithful_to(kind: str, value, text: str) -> str | None:
+    """Why a form value isn't in the text it restates; None if it is, or if its kind has no such rule."""
+    lacks = []
+    if kind == "verbatim" and value not in text:
+        lacks.append(f"{value!r} is not in the text")
+    number, unit = (value["value"], value["unit"]) if kind == "quantity" else (value if kind == "number" else None, None)
+    if number is not None and float(number) not in numerals_of(text):
+        lacks.append(f"no numeral of the text is {number!r}")
+    if unit is not None and not unit_in(text, unit):
+        lacks.append(f"{unit!r} is not a unit in the text")
+    if kind == "eqref" and not eqref_in(text, value):
+        lacks.append(f"the text does not refer to equation {value!r}")
+    return "; ".join(lacks) or None
+
+
+@F.pandas_udf(StringType())
+def unfaithful(kind: pd.Series, value: pd.Series, text: pd.Series) -> pd.Series:
+    """value: the form value as JSON."""
+    return pd.Series([None if k is None or v is None else unfaithful_to(k, json.loads(v), t or "") for k, v, t in zip(kind, value, text, strict=True)])
+
+
+def hedge(phrase: str) -> str:
+    """The form in which hedge phrases are compared."""
+    return normalise(phrase).casefold()
+
+
+@F.pandas_udf(StringType())
+def hedge_key(s: pd.Series) -> pd.Series:
+    return s.map(hedge, na_action="ignore")
+
+
+# fixed values: abbreviations whose full stop ends no sentence, and words that a single capital labels
+ABBREVIATIONS = frozenset({"e.g", "i.e", "al", "cf", "vs", "fig", "figs", "eq", "eqs", "ref", "refs", "sec", "secs", "dr", "mr", "mrs", "ms", "prof"})
+LABELLED = frozenset({"table", "tab", "section", "sec", "appendix", "app", "chapter", "part"})
+# fixed values: what separates words in LaTeX source
+LATEX_SPACE = re.compile(r"\s+|~|\\\\|\\[ ,;:!]|\\(?:thinspace|enspace|nobreakspace|space|quad|qquad)(?![A-Za-z])")
+
+
+def latex_words(text: str) -> list[str]:
+    """Words of LaTeX source, read once from left to right: inline math counts as part of the word it stands in, whatever
+    is in it; a backslash takes the next character along."""
+    out, word, at, n = [], [], 0, len(text)
+    closer = text.rfind("\\)")
+    while at < n:
+        gap = LATEX_SPACE.match(text, at)
+        if gap:
+            if word:
+                out.append("".join(word))
+                word = []
+            at = gap.end()
+            continue
+        end = 0
+        if text[at] == "$":
+            stop = text.find("$", at + 1)
+            end = stop + 1 if stop > at + 1 else 0
+        elif text.startswith("\\(", at) and at < closer:
+            stop, again = text.find("\\)", at + 2), text.find("\\(", at + 2)
+            end = stop + 2 if stop > at + 2 and not at < again < stop else 0
+        if not end:
+            end = min(n, at + 2) if text[at] == "\\" else at + 1
+        word.append(text[at:end])
+        at = end
+    return [*out, "".join(word)] if word else out
+
+
+def sentence_ends(before: str, after: str, latex: bool = False) -> bool:
+    """Whether a full stop, question or exclamation mark between the two, followed by white space, ends a sentence: not
+    after an abbreviation or an initial, nor before lower case. A single capital after a word such as `Table` or after a
+    numeral is a label or unit, and no initial."""
+    if after[:1].islower():
+        return False
+    words = latex_words(before) if latex else before.split()
+    if not words:
+        return True
+    last = words[-1].lstrip("(\"'`~")
+    if last.lower() in ABBREVIATIONS:
+        return False
+    if len(last) != 1 or not "A" <= last <= "Z":
+        return True
+    if len(words) == 1:
+        return False
+    previous = words[-2]
+    inner = re.fullmatch(r"\$([^$]+)\$|\\\((.+)\\\)", previous) if latex else None
+    return previous.rstrip(".").lower() in LABELLED or NUMERAL.fullmatch((inner[1] or inner[2]) if inner else previous) is not None
+
+
+@F.pandas_udf(BooleanType())
+def ends_sentence(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([sentence_ends(a, b) for a, b in zip(before, after, strict=True)])
+
+
 def chars_range(locator: Column) -> Column:
     """Struct (first, last) of a locator's trailing chars=a-b, null without one."""
     a, b = (F.regexp_extract(locator, r";chars=(\d+)-(\d+)$", i) for i in (1, 2))
     return F.when(a != "", F.struct(a.cast("long").alias("first"), b.cast("long").alias("last")))
 
 
-def occurrences(text: Column, clause: Column) -> Column:
-    """Start offsets (from 0), overlapping ones included."""
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - F.length(clause)))
-    return F.filter(places, lambda i: F.substring(text, i + 1, F.length(clause)) == clause)
+def occurrences_of(text: str, clause: str) -> list[int]:
+    out, at = [], text.find(clause) if clause else -1
+    while at >= 0:
+        out.append(at)
+        at = text.find(clause, at + 1)
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def occurrences(text: pd.Series, clause: pd.Series) -> pd.Series:
+    """Start offsets (from 0), overlapping ones included; null where either is null."""
+    return pd.Series([None if a is None or b is None else occurrences_of(a, b) for a, b in zip(text, clause, strict=True)])
+
+
+def suffixes() -> Iterator[str]:
+    """a, b, ..., z, aa, ab, ..."""
+    return ("".join(x) for n in count(1) for x in product(ascii_lowercase, repeat=n))
+
+
+def suffix(n: Column) -> Column:
+    """The n-th of the suffixes, from 0, up to four letters."""
+    letter = lambda x: F.chr(F.lit(97) + F.pmod(x, F.lit(26)))
+    out, rest = letter(n), F.floor(n / 26)
+    for _ in range(3):
+        more = rest > 0
+        out = F.when(more, F.concat(letter(rest - 1), out)).otherwise(out)
+        rest = F.when(more, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
+    return out
+
+
+def value_of(text: str):
+    """A value as typed: JSON if it is, else the string."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        return text
+
+
+def parse_value(text: Column) -> Column:
+    """The same as JSON text."""
+    listed = F.to_json(F.array(text))
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.substring(listed, 2, F.length(listed) - 2))
+
+
+# fixed value: the longest range of citations that is spelt out
+LONGEST_RANGE = 500
 
 
 def citation_keys(citation: Column) -> Column:
-    """`1-3, 5` as keys; ranges of over 500 keep their ends only."""
-    parts = F.transform(F.split(citation, ","), F.trim)
+    """`1-3, 5` as keys; ranges of over LONGEST_RANGE keep their ends only."""
+    parts = F.transform(F.split(citation, ","), lambda x: F.trim(x))
 
     def expand(p: Column) -> Column:
         a, b = (F.regexp_extract(p, r"^(\d+)\s*[-–]\s*(\d+)$", i).try_cast("int") for i in (1, 2))
@@ -93,31 +269,8 @@ def citation_keys(citation: Column) -> Column:
     return F.filter(F.array_distinct(F.flatten(F.transform(parts, expand))), lambda k: k != "")
 
 
-# fixed values: powers of (m, kg, s, A, K, mol, cd) of named units
-UNITS = {
-    "m": (1, 0, 0, 0, 0, 0, 0), "kg": (0, 1, 0, 0, 0, 0, 0), "g": (0, 1, 0, 0, 0, 0, 0), "s": (0, 0, 1, 0, 0, 0, 0), "A": (0, 0, 0, 1, 0, 0, 0),
-    "K": (0, 0, 0, 0, 1, 0, 0), "mol": (0, 0, 0, 0, 0, 1, 0), "cd": (0, 0, 0, 0, 0, 0, 1), "Hz": (0, 0, -1, 0, 0, 0, 0), "N": (1, 1, -2, 0, 0, 0, 0),
-    "Pa": (-1, 1, -2, 0, 0, 0, 0), "J": (2, 1, -2, 0, 0, 0, 0), "W": (2, 1, -3, 0, 0, 0, 0), "C": (0, 0, 1, 1, 0, 0, 0), "V": (2, 1, -3, -1, 0, 0, 0),
-}
-
-
-def unit_dimension(unit: Column) -> Column:
-    """Seven SI powers of a product such as `kg m^2/s^2`; null for an unknown unit. A slash turns the sign of what follows."""
-    table = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
-    zero = F.array(*[F.lit(0)] * 7)
-    parts = F.split(unit, "/")
-
-    def powers(part: Column, sign: Column) -> Column:
-        def one(t: Column) -> Column:
-            name = F.regexp_extract(t, r"^([A-Za-z]+)", 1)
-            power = F.coalesce(F.regexp_extract(t, r"\^?(-?\d+)$", 1).try_cast("int"), F.lit(1)) * sign
-            return F.transform(table[name], lambda x: x * power)
-
-        terms = F.filter(F.split(part, r"[\s·*]+"), lambda t: (t != "") & (t != "1"))
-        return F.aggregate(F.transform(terms, one), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-
-    each = F.transform(parts, lambda p, i: powers(p, F.when(i == 0, F.lit(1)).otherwise(F.lit(-1))))
-    return F.aggregate(each, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+def is_empty_interval(lo: Column, hi: Column) -> Column:
+    return F.coalesce(lo > hi, F.lit(False))
 
 
 def intersection(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
@@ -126,6 +279,31 @@ def intersection(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
 
 
 def contains_interval(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """Whether the first interval holds the second."""
+    """Whether the first interval holds the second. An empty one lies in every interval and holds only empty ones."""
     low = lo1.isNull() | F.coalesce(lo2 >= lo1, F.lit(False))
-    return low & (hi1.isNull() | F.coalesce(hi2 <= hi1, F.lit(False)))
+    high = hi1.isNull() | F.coalesce(hi2 <= hi1, F.lit(False))
+    return is_empty_interval(lo2, hi2) | ~is_empty_interval(lo1, hi1) & low & high
+
+
+def show_interval(lo: Column, hi: Column) -> Column:
+    """`[10, 100]`, `[1, inf)`, `(-inf, 0]` or `empty`."""
+    plain = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    left = F.when(lo.isNull(), F.lit("(-inf")).otherwise(F.concat(F.lit("["), plain(lo)))
+    right = F.when(hi.isNull(), F.lit("inf)")).otherwise(F.concat(plain(hi), F.lit("]")))
+    return F.when(is_empty_interval(lo, hi), F.lit("empty")).otherwise(F.concat(left, F.lit(", "), right))
+
+
+Interval = tuple[float | None, float | None]
+
+
+def meet(one: Interval, other: Interval) -> Interval:
+    low, high = ([x for x in (one[i], other[i]) if x is not None] for i in (0, 1))
+    return max(low, default=None), min(high, default=None)
+
+
+def vacant(interval: Interval) -> bool:
+    return None not in interval and interval[0] > interval[1]
+
+
+def holds(outer: Interval, inner: Interval) -> bool:
+    return vacant(inner) or not vacant(outer) and meet(outer, inner) == tuple(inner)

@@ -1,0 +1,107 @@
+"""Text functions: tables of own examples, plain and as columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from beliefmesh.functions import text, units
+
+NUMERALS = [
+    ("from 3 to 40 kg", [3, 40]), ("at 7%", [0.07, 7]), ("7\\% and 7 %", [0.07, 7]), ("2.5e-2", [0.025]), ("2.5E+2", [250]), ("3.0×10^-2", [0.03]), ("$3.0 \\times 10^{-2}$", [0.03]), ("4 × 10^2", [400]),
+    ("12,345 rows", [12345]), ("12\u2009345 rows", [12345]), ("12\u202f345", [12345]), ("12\\,345", [12345]), ("drops by -6 or −8", [-8, -6]), ("y = +9", [9]), ("some .25 of it", [0.25]), ("none", []),
+    ("lines 3-8", [3, 8]), ("v2.3", []), ("x5", []), ("1.1%", [0.011, 1.1]), (None, []),
+]
+UNITS = [
+    ("from 3 to 40 kg.", "kg", True), ("40kg", "kg", False), ("a 2 mg dose", "g", False), ("\\mathrm{kg}", "kg", True), ("5 km/h", "km/h", True), ("5 km/h", "km", False), ("5 km/h", "h", False), ("5 J/K^2", "J/K", False),
+    ("2 s^2", "s", False), ("2 s^2", "s^2", True), ("9 A·s", "A", False), ("9 A⋅s", "s", False), ("9 A×s", "A×s", True), ("9 A*s", "A", False), ("k_B", "k", False), ("3%", "%", True), ("3", "%", False), ("at 20°C", "°C", True), ("at 20°Cx", "°C", False),
+    ("a\\E b", "\\E", True), ("a\\Eb", "\\E", False),
+]
+DIMENSIONS = [("km/h", "m s^-1", True), ("kHz", "1/s", True), ("N·m", "J", True), ("eV", "J", True), ("Ω", "V/A", True), ("Gyr", "min", True), ("kpc", "ly", True), ("µs", "us", True), ("dam", "m", True), ("%", "1", True), ("Hz", "s", False), ("m^2", "m", False), ("stone", "stone", True), ("stone", "kg", False)]
+UNREADABLE = ["apples", "", " ", "m/s/s", "s^x", "kHzz", "/s", "m^", "m//s", None]
+
+
+def test_numerals_and_units(spark):
+    assert all(text.numerals_of(t) == want for t, want in NUMERALS)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NUMERALS) if t], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", text.numerals(F.col("t")).alias("n")).collect()}
+    assert all(got[i] == want for i, (t, want) in enumerate(NUMERALS) if t)
+    assert df.where(text.has_numeral(F.col("t"), F.lit(0.07))).count() == 2
+    assert all(text.unit_in(t, u) is want for t, u, want in UNITS)
+    df = spark.createDataFrame(UNITS, "t string, u string, want boolean")
+    assert df.where(text.has_unit(F.col("t"), F.col("u")) != F.col("want")).collect() == []
+
+
+def test_dimensions(spark):
+    assert all(units.same_kind(a, b) is units.same_kind(b, a) is want for a, b, want in DIMENSIONS)
+    assert all(units.dimension_of(u) is None for u in UNREADABLE)
+    assert units.dimension_of("kg·m^2/s^2") == [2, 1, -2, 0, 0, 0, 0]
+    df = spark.createDataFrame([(a, b, w) for a, b, w in DIMENSIONS], "a string, b string, w boolean")
+    assert df.where(units.agree(F.col("a"), F.col("b")) != F.col("w")).count() == 0
+    bad = spark.createDataFrame([(u,) for u in UNREADABLE], "u string").select(units.unit_dimension(F.col("u")).alias("d"))
+    assert {r["d"] for r in bad.collect()} == {None}
+
+
+def test_references_and_ranges(spark):
+    rows = [("see \\eqref{a:b}", "a:b", True), ("see \\Cref{a:b}", "a:b", True), ("Eq. (12)", "12", True), ("\\ref{a:bc}", "a:b", False), ("12 steps", "12", False)]
+    assert all(text.eqref_in(t, k) is w for t, k, w in rows)
+    df = spark.createDataFrame(rows, "t string, k string, w boolean")
+    assert df.where(text.has_eqref(F.col("t"), F.col("k")) != F.col("w")).count() == 0
+    loc = spark.createDataFrame([("p.tex;lines=1-2;chars=3-17",), ("p.tex;chars=3-17;x",), (None,)], "l string").select(text.chars_range(F.col("l")).alias("r")).collect()
+    assert [r["r"] and tuple(r["r"]) for r in loc] == [(3, 17), None, None]
+    keys = spark.createDataFrame([("2-4, 7",), ("5",), ("1-900",), ("a, a",), ("9-8",)], "c string").select(text.citation_keys(F.col("c")).alias("k")).collect()
+    assert [r["k"] for r in keys] == [["2", "3", "4", "7"], ["5"], ["1", "900"], ["a"], ["9-8"]]
+
+
+def test_faithfulness_and_hedges(spark):
+    assert text.unfaithful_to("verbatim", "rises", "it rises") is None and "not in the text" in text.unfaithful_to("verbatim", "falls", "it rises")
+    assert text.unfaithful_to("number", 40, "at 40 kg") is None and text.unfaithful_to("number", 41, "at 40 kg")
+    both = text.unfaithful_to("quantity", {"value": 3, "unit": "s"}, "at 40 kg")
+    assert both.count(";") == 1 and text.unfaithful_to("quantity", {"value": 40, "unit": "kg"}, "at 40 kg") is None
+    assert text.unfaithful_to("eqref", "4", "by (4)") is None and text.unfaithful_to("enum", "x", "") is None
+    df = spark.createDataFrame([("number", "40", "at 40 kg"), ("eqref", '"9"', "none"), (None, None, None)], "k string, v string, t string")
+    got = [r["u"] for r in df.select(text.unfaithful(F.col("k"), F.col("v"), F.col("t")).alias("u")).collect()]
+    assert got[0] is None and got[1] and got[2] is None
+    assert text.hedge("  It  Strasse ") == text.hedge("it straße") == "it strasse"
+    assert spark.createDataFrame([(" Perhaps SO ",)], "p string").select(text.hedge_key(F.col("p")).alias("k")).first()["k"] == "perhaps so"
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "plain", "latex"),
+    [
+        ("It rose", "Then it fell", True, True), ("as in Fig", "Two shows", False, False), ("cf", "Smith", False, False), ("by A", "Smith", False, False), ("listed in Table B", "Rows", True, True), ("near 40 K", "The rest", True, True), ("it rose", "then", False, False),
+        ("(see e.g", "Lee", False, False), ("", "Next", True, True), ("about $40$ K", "The rest", False, True), ("about \\(40\\) K", "The rest", False, True), ("about 40\\,K", "The rest", True, True), ("by J.\\,R", "Lee", True, False), ("about 40\\quad K", "Rest", False, True),
+        ("a $x + 2$ K", "Lee", False, False), ("costs \\$9; near $40$ K", "Rest", False, True), ("$3 \\times 10^{2}$ K", "Rest", False, True), ("\\(" * 50_000 + " 40 K", "Rest", True, True),
+    ],
+)
+def test_sentence_ends(before, after, plain, latex):
+    if "\\" not in before and "$" not in before:
+        assert text.sentence_ends(before, after) is plain
+    assert text.sentence_ends(before, after, latex=True) is latex
+
+
+def test_intervals(spark):
+    rows = [((10, 100), (10, 100), True), ((10, 100), (9, 50), False), ((10, None), (20, None), True), ((10, 100), (20, None), False), ((None, 100), (None, 5), True), ((30, 20), (25, 25), False), ((0, 5), (20, 10), True), ((30, 20), (20, 10), True), ((None, None), (None, None), True)]
+    assert all(text.holds(a, b) is w for a, b, w in rows)
+    df = spark.createDataFrame([(*[None if x is None else float(x) for x in (*a, *b)], w) for a, b, w in rows], "a double, b double, c double, d double, w boolean")
+    cols = [F.col(x) for x in "abcd"]
+    assert df.where(text.contains_interval(*cols) != F.col("w")).count() == 0
+    shown = spark.createDataFrame([(10.0, 100.0), (1.5, None), (None, 0.0), (3.0, 1.0)], "a double, b double").select(text.show_interval(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["s"] for r in shown] == ["[10, 100]", "[1.5, inf)", "(-inf, 0]", "empty"]
+    assert text.meet((10, 20), (30, None)) == (30, 20) and text.vacant((30, 20)) and not text.vacant((None, 1))
+
+
+def test_occurrences_suffixes_and_values(spark):
+    assert text.occurrences_of("aaa b aa", "aa") == [0, 1, 6] and text.occurrences_of("a", "") == []
+    df = spark.createDataFrame([("aaa", "aa"), ("x", "y"), (None, "y")], "t string, c string")
+    assert [r["o"] for r in df.select(text.occurrences(F.col("t"), F.col("c")).alias("o")).collect()] == [[0, 1], [], None]
+    names = text.suffixes()
+    want = [next(names) for _ in range(800)]
+    assert want[:2] == ["a", "b"] and want[25:28] == ["z", "aa", "ab"] and want[702] == "aaa"
+    got = [r["s"] for r in spark.range(800).orderBy("id").select(text.suffix(F.col("id")).alias("s")).collect()]
+    assert got == want
+    values = ["1.5", '{"a": [1, null]}', "plain", 'a "quoted" \\ one', "true", '"s"']
+    assert [text.value_of(v) for v in values] == [1.5, {"a": [1, None]}, "plain", 'a "quoted" \\ one', True, "s"]
+    import json
+
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(text.parse_value(F.col("v")).alias("p")).collect()
+    assert [json.loads(r["p"]) for r in got] == [text.value_of(v) for v in values]
+    assert spark.range(1).select(text.file_digest(F.lit(b"abc")).alias("d")).first()["d"].startswith("sha256:ba7816bf")
