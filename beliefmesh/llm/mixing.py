@@ -5,10 +5,11 @@ a source of weight w may not start before slot floor(j / w) and is due by slot c
 per slot, the released block with the earliest deadline first, so at every slot each live source has received its
 weight's share to within less than one block.
 
-Every block of the corpus is planned, by default: the driver reads the rows of each source and deals blocks out of a heap
-(a number per `block_rows` documents), with weights in units of 2^-36 of the whole. Rounding moves a share by less than
-(sources + 1) / 2^36, which is far below one block over all slots. Documents find their slot by their rank within their
-source; each slice of ranks carries the slots of its own blocks only.
+Every block of the corpus is planned, by default: the driver reads the rows of each source and deals blocks out of a heap,
+with weights in units of 2^-36 of the whole. Rounding moves a share by less than (sources + 1) / 2^36, which is far below
+one block over all slots. Documents find their slot by their rank within their source; each slice of ranks carries the
+slots of its own blocks only. The driver holds a number a block, at most MOST_BLOCKS beside one per source: beyond
+MOST_BLOCKS * `block_rows` rows (33 million), blocks have more rows, and the bound of one block with them.
 
 With `units`, weights are rounded to whole units of a hyperperiod of D slots (D = the sum of the units), which repeats;
 only one is planned: a fold over D slots on a single row of per-source state. The bound then holds against the rounded
@@ -17,13 +18,16 @@ weights, not the given ones.
 A source that ends leaves its later slots empty; the others keep their release times. No row is dropped or repeated.
 
 Defined cases: a null source is a source of its own; an empty table gives an empty result; repeated rows are separate
-rows; null ids and texts are kept; columns besides those used are ignored by `schedule` and kept by `mix`.
+rows, in any order among themselves; null ids and texts are kept, after the hash of the null; ties of deadlines go by the
+order of sources; texts aren't read by `schedule`, and the longest is one row of `mix`; columns besides those used are
+ignored by `schedule` and kept by `mix`, also ones called `slot` or `block`.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ from beliefmesh.llm.common import pick, ranked
 FINE = 1 << 36
 LEAST = 1000
 BLOCK_ROWS = 32
+MOST_BLOCKS = 1 << 20
 TEMPERATURE = 0.5
 
 
@@ -77,14 +82,16 @@ def earliest_deadlines(units: list[int], blocks: list[int]) -> list[list[int]]:
     return slots
 
 
-def exact_plan(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per source: source_key, units of weight, their sum D as period, and the slots of all its blocks."""
+def exact_plan(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, int]:
+    """One row per source: source_key, units of weight, their sum D as period, the slots of all its blocks, and their turns,
+    which number the slots that are used. Then the rows of a block, more than asked for if there are over most_blocks."""
     rows = sorted(map(tuple, target_weights(docs, weights, temperature).collect()))
+    block_rows = max(block_rows, -(-sum(n for _, n, _ in rows) // most_blocks))
     units = fine_units([w for _, _, w in rows])
     slots = earliest_deadlines(units, [-(-n // block_rows) for _, n, _ in rows])
-    period = sum(units)
-    planned = [(k, u, period, s) for (k, _, _), u, s in zip(rows, units, slots, strict=True)]
-    return docs.sparkSession.createDataFrame(planned, "source_key string, units long, period long, slots array<long>")
+    period, used = sum(units), np.sort(np.concatenate([np.array(s, np.int64) for s in slots])) if slots else np.zeros(0, np.int64)
+    planned = [(k, u, period, s, np.searchsorted(used, s).tolist()) for (k, _, _), u, s in zip(rows, units, slots, strict=True)]
+    return docs.sparkSession.createDataFrame(planned, "source_key string, units long, period long, slots array<long>, turns array<long>"), block_rows
 
 
 def plan(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, units: int) -> DataFrame:
@@ -111,29 +118,47 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None, temperature:
     return order.selectExpr(f"inline({per_source})")
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE, units: int | None = None, carry: list[str] | None = None, splits: int = 1024) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE, units: int | None = None, carry: list[str] | None = None, tie: list[str] | None = None, splits: int = 1024, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Per document: doc_id, source, source_rank, block, units, period, slot, release, deadline (all from 0; the block
-    is served within [release, deadline) in slot time), beside the `carry` columns. units: plan a hyperperiod of so many."""
-    keep = list(dict.fromkeys(["doc_id", "source", *(carry or [])]))
-    slim = pick(docs, *keep)
+    is served within [release, deadline) in slot time), beside the `carry` columns; turn, the block's place among all,
+    unless a hyperperiod of `units` is planned. tie: columns besides doc_id that order a source's documents."""
+    keep = list(dict.fromkeys(["doc_id", "source", *(tie or []), *(carry or [])]))
+    slim = pick(docs, *keep).select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(keep)], "doc_id", "source")
     exact = units is None
-    by = exact_plan(slim, weights, temperature, block_rows) if exact else plan(slim, weights, temperature, units).drop("rows")
+    if exact:
+        by, block_rows = exact_plan(slim, weights, temperature, block_rows, most_blocks)
+    else:
+        by = plan(slim, weights, temperature, units).drop("rows")
     # a slice of ranks carries the slots of its blocks
-    own = {"first_block": f"__start div {block_rows}", "slots": f"slice(slots, cast(__start div {block_rows} as int) + 1, cast(__n div {block_rows} as int) + 2)"} if exact else {}
-    tie = [F.col("doc_id"), *([F.xxhash64(F.col("text"))] if "text" in keep else [])]
-    rank = ranked(slim, source_key(), tie, "source_rank", splits, by.withColumnRenamed("source_key", "__g"), own)
-    slot = "element_at(slots, cast(block - first_block as int) + 1)" if exact else "(block div units) * period + element_at(slots, cast(block % units as int) + 1)"
+    part = f"slice({{}}, cast(__start div {block_rows} as int) + 1, cast(__n div {block_rows} as int) + 2)"
+    own = {"first_block": f"__start div {block_rows}", "slots": part.format("slots"), "turns": part.format("turns")} if exact else {}
+    order = [F.col("doc_id"), *[F.col(f"__in{keep.index(c)}") for c in tie or []]]
+    rank = ranked(slim, source_key(), order, "source_rank", splits, by.withColumnRenamed("source_key", "__g"), own)
+    at = "element_at({}, cast(block - first_block as int) + 1)"
+    slot = at.format("slots") if exact else "(block div units) * period + element_at(slots, cast(block % units as int) + 1)"
     block = rank.withColumn("block", F.expr(f"source_rank div {block_rows}"))
     return block.select(
-        *[F.col(f"`{c}`") for c in keep], "source_rank", "block", "units", "period",
+        *[F.col(f"__in{i}").alias(c) for i, c in enumerate(keep) if c in ("doc_id", "source", *(carry or []))], "source_rank", "block", "units", "period",
         F.expr(slot).alias("slot"),
         F.expr("(block * period) div units").alias("release"),
         F.expr("((block + 1) * period + units - 1) div units").alias("deadline"),
+        *([F.expr(at.format("turns")).alias("turn")] if exact else []),
     )
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
-    """All rows of docs with the same columns, dealt into ordered partitions by slot: written files follow the mix."""
+    """All rows of docs with the same columns, dealt into ordered partitions by slot: written files follow the mix. The
+    order is a function of doc_id, source and text alone (see `TIE`), so that later steps find it again from the rows."""
     columns = docs.columns
-    placed = schedule(docs, weights, carry=columns, **options)
-    return placed.repartitionByRange("slot", "source_rank").sortWithinPartitions("slot", "source", "source_rank").select(*[F.col(f"`{c}`") for c in columns])
+    flat = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "source", "text") else f"__c{i}") for i, c in enumerate(columns)]).withColumn(TIE, tie_of())
+    placed = schedule(flat, weights, carry=flat.columns[:-1], tie=[TIE], **options)
+    ordered = placed.repartitionByRange("slot", "source_rank").sortWithinPartitions("slot", "source", "source_rank")
+    return ordered.select(*[F.col(x).alias(c) for x, c in zip(flat.columns[:-1], columns, strict=True)])
+
+
+#: The hash that orders documents of one id, as `mix` and `packing.pack` with windows take it.
+TIE = "__text_hash"
+
+
+def tie_of():
+    return F.xxhash64("text")

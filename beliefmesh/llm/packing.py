@@ -9,8 +9,13 @@
 3. Pieces get their rank within their length (evenly dealt, whatever the largest group of equal lengths) and take
    their slot by joining on length and rank.
 
+With `window`, sequences follow the mix of sources: a window is so many consecutive blocks of `mixing.schedule`, each is
+planned by itself from its own histogram, on the workers, and sequences are numbered window by window. So any run of
+sequences has the sources' target shares to within a window, at the cost of at most a partly filled sequence or so in each.
+
 Defined cases: null text is empty: a document of the separator alone; an empty table gives an empty result; repeated
-rows are packed each; null ids are kept; other columns are ignored; ties among equal lengths go by hash of the id.
+rows are packed each; null ids are kept; a very long text has as many pieces as it needs; other columns, also ones such as
+`piece` or `length`, are ignored; ties among equal lengths go by hash of the id.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beliefmesh.llm import mixing
 from beliefmesh.llm.common import lean, materialise, pick, ranked, small_batches, worker_state
 from beliefmesh.llm.tokens import WORD_PIECES, is_plain, load, vocabulary_path
 
@@ -75,8 +81,9 @@ class Ids:
         return out
 
 
-def pieces_of(docs: DataFrame, path: str, room: int, end: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32."""
+def pieces_of(docs: DataFrame, path: str, room: int, end: int, carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and the `carry` columns (names and types)."""
+    carry = carry or {}
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,16 +92,18 @@ def pieces_of(docs: DataFrame, path: str, room: int, end: int) -> DataFrame:
             for at in range(0, len(whole), 256):
                 b = whole.iloc[at : at + 256]
                 rows = []
-                for doc, got in zip(b["doc_id"].tolist(), ids.of(b["text"].tolist()), strict=True):
+                more = [b[c].tolist() for c in carry]
+                for doc, got, *own in zip(b["doc_id"].tolist(), ids.of(b["text"].tolist()), *more, strict=True):
                     got += last
                     for k, i in enumerate(range(0, len(got), 4 * room)):
                         cut = got[i : i + 4 * room]
-                        rows.append((doc, k, i // 4, len(cut) // 4, zlib.crc32(cut)))
-                frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc, k, i // 4, len(cut) // 4, zlib.crc32(cut), *own))
+                frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *carry])
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     small_batches(docs.sparkSession)
-    return pick(docs, "doc_id", "text").mapInPandas(lean(run, f"ids {path}"), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    more = "".join(f", {c} {kind}" for c, kind in carry.items())
+    return pick(docs, "doc_id", "text", *carry).mapInPandas(lean(run, f"ids {path}"), f"doc_id long, piece int, start long, length long, ids_crc32 long{more}")
 
 
 def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
@@ -140,9 +149,16 @@ def add(open_by_room: dict, sizes: list[int], space: int, first: int, count: int
         open_by_room[space].append((first, count))
 
 
-def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = END, splits: int = 256) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+PLACE = "doc_id, piece, start, length, ids_crc32, slot.first + rank - slot.a as sequence_id, slot.offset as offset"
+
+
+def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = END, splits: int = 256, window: int | None = None, **mix) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. window: blocks of the mix of sources that
+    are packed together (default: all documents together, whatever their source); mix: options of mixing.schedule."""
     path = path or vocabulary_path(VOCABULARY)
+    tie = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    if window is not None:
+        return pack_windows(docs, path, room, end, window, tie, mix)
     pieces = materialise(pieces_of(docs, path, room, end))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_length: dict[int, list] = {}
@@ -150,7 +166,35 @@ def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int =
         by_length.setdefault(length, []).append((a, b, first, offset))
     spark = docs.sparkSession
     slots = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()], "__g long, slots array<struct<a:long,b:long,first:long,offset:long>>")
-    placed = ranked(pieces, F.col("length"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", splits, slots)
-    slot = F.expr("filter(slots, s -> s.a <= rank and rank < s.b)[0]")
-    placed = placed.withColumn("slot", slot)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("slot.first") + F.col("rank") - F.col("slot.a")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
+    placed = ranked(pieces, F.col("length"), tie, "rank", splits, slots)
+    return placed.withColumn("slot", slot_of()).selectExpr(*PLACE.split(", "))
+
+
+def slot_of():
+    """The row of the plan that a rank falls in."""
+    return F.expr("filter(slots, s -> s.a <= rank and rank < s.b)[0]")
+
+
+def pack_windows(docs: DataFrame, path: str, room: int, end: int, window: int, tie: list, mix: dict) -> DataFrame:
+    own = pick(docs, "doc_id", "source", "text").withColumns({mixing.TIE: mixing.tie_of(), "__row": F.monotonically_increasing_id()})
+    # numbered as it is written, so that a document's pieces find its window
+    pieces = materialise(pieces_of(own, path, room, end, {"source": "string", mixing.TIE: "long", "__row": "long"}))
+    turns = mixing.schedule(pieces.where("piece = 0"), carry=["__row"], tie=[mixing.TIE], **mix).select("__row", F.expr(f"turn div {window}").alias("__w"))
+    pieces = materialise(pieces.join(turns, "__row").select("doc_id", "piece", "start", "length", "ids_crc32", "__w"))
+
+    def planned(rows: pd.DataFrame) -> pd.DataFrame:
+        """One window's histogram, at most `room` rows."""
+        got = plan(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), room)
+        out = pd.DataFrame(got, columns=["length", "a", "b", "first", "offset"])
+        return out.assign(__w=rows["__w"].iloc[0], used=int((out["first"] + out["b"] - out["a"]).max()))
+
+    histogram = pieces.groupBy("__w", "length").agg(F.count(F.lit(1)).alias("n"))
+    plans = materialise(histogram.groupBy("__w").applyInPandas(planned, "length long, a long, b long, first long, offset long, __w long, used long"))
+    # a row a window, at most MOST_BLOCKS / window of them: where its sequences begin
+    before = Window.orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)
+    begins = plans.groupBy("__w").agg(F.max("used").alias("used")).select("__w", F.coalesce(F.sum("used").over(before), F.lit(0)).alias("begin"))
+    at = plans.join(begins, "__w").withColumn("first", F.col("first") + F.col("begin"))
+    group = lambda: F.struct(F.col("__w"), F.col("length"))
+    slots = at.groupBy(group().alias("__g")).agg(F.sort_array(F.collect_list(F.struct("a", "b", "first", "offset"))).alias("slots"))
+    placed = ranked(pieces, group(), tie, "rank", 16, slots)
+    return placed.withColumn("slot", slot_of()).selectExpr(*PLACE.split(", "))
