@@ -44,10 +44,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the folders that operators have written, but for the first `keep`. Frames that read them can't be computed
     any more, so it is for the time after their results are written."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     while len(SCRATCH) > keep:
-        path = hadoop(SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, SCRATCH.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ slices between approximate quantiles of the id (bounded number), a window leads
 each slice is joined to the last row of the slice before it. Text is shuffled once.
 
 Defined cases: null text is empty text; null ids come first; repeated rows follow each other, as next documents of one
-another; one row alone is its own next document; an empty table gives an empty result; other columns are ignored.
+another; ties of the id go by the hash of the text; one row alone is its own next document; a very long text is one row;
+an empty table gives an empty result; other columns, also ones such as `fingerprint`, are ignored.
 """
 
 from __future__ import annotations

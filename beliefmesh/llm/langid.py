@@ -8,7 +8,9 @@ Training takes `sample_docs` labelled documents (the smallest hashes of the id;
 in each, also by hash, so the driver gets at most sample_docs * windows * 256 characters.
 
 Defined cases: null text, or one without any letter, gives `und` with score 0; without any labelled text all is `und`;
-a null id counts as held out; repeated rows are scored alike; other columns are ignored.
+a null id counts as held out; repeated rows are scored alike; a very long text is scored by all its windows; ties between
+languages go to the first by name; an empty table gives an empty result; other columns, also ones called `score` or
+`lang_pred`, are ignored by `predict` and kept by `accept`.
 """
 
 from __future__ import annotations

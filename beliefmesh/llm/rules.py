@@ -7,7 +7,9 @@ dropped from the end while (p - n) / (p + n) doesn't fall), and kept while preci
 Spark `CASE WHEN` over the statistics, so that the verdict is readable in the plan.
 
 Defined cases: null or empty text has no words and fails the base rule; without labels the list is empty and only the
-base rule rejects; null labels or ids aren't learned from; repeated rows are judged alike; other columns are ignored.
+base rule rejects; null labels or ids aren't learned from; repeated rows are judged alike; a very long text is one row;
+ties in learning go to the first statistic and cut; an empty table gives an empty result; other columns, also ones called
+as a statistic, are ignored by `judge` and kept by `accept`.
 """
 
 from __future__ import annotations
