@@ -12,6 +12,7 @@ relations in turn), `dangling`, `missing-strength`. Other graphs aren't touched
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,6 +88,25 @@ def spread(credence: dict | None) -> dict | None:
     return None if credence is None or credence["p"] is not None else {"alpha": credence["alpha"], "beta": credence["beta"]}
 
 
+def defects(graph: dict) -> list[str]:
+    """What keeps a graph from being read as one: `dangling:<relation>`, `duplicate:<id>`, `attributes:<id>`."""
+    names = [n["id"] for n in graph["nodes"]]
+    known = set(names)
+    out = [f"dangling:{r['id']}" for r in graph["relations"] if r["source"] not in known or r["target"] not in known]
+    seen: set[str] = set()
+    for k in names:
+        if k in seen:
+            out.append(f"duplicate:{k}")
+        seen.add(k)
+    for x in (*graph["nodes"], *graph["relations"]):
+        try:
+            if x["attributes"] and not isinstance(json.loads(x["attributes"]), dict):
+                out.append(f"attributes:{x['id']}")
+        except ValueError:
+            out.append(f"attributes:{x['id']}")
+    return out
+
+
 def inference_sets(graph: dict) -> dict[str, list[str]]:
     """The inference variables: members in order by the earliest of them. A node counts if it has a base or an inferential
     relation; nodes joined by `equivalent` are one."""

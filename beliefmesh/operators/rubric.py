@@ -331,6 +331,8 @@ def strict(doc: Document) -> list[dict]:
 def check_graph(graph: dict, rubric: dict, level: str = "typed", rubric_credences: bool = False) -> list[dict]:
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
+    if wrong := compiler.defects(graph):
+        return [diagnostics.finding("error", "malformed", ", ".join(wrong), [])]
     doc = Document(graph, rubric)
     out = [f for rules in (anchored, typed, assessed)[: LEVELS.index(level) + 1] for f in rules(doc)]
     return out + (strict(doc) if rubric_credences else [])
@@ -349,6 +351,7 @@ def check(nodes: DataFrame, relations: DataFrame, rubric: dict, level: str = "ty
 
 def coverage_of(graph: dict, rubric: dict) -> dict:
     """How far classification has got. Types count document nodes, in the order in which they first appear."""
+    graph = {**graph, "relations": []}
     doc = Document(graph, rubric)
     origins, kinds = dict.fromkeys(ORIGINS, 0), {}
     untyped, unexamined, reasons = [], [], {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beliefmesh.functions import credence, text
@@ -225,7 +225,7 @@ def observes_posterior(spark, sf_dir):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')))) AS root FROM documents")
 def equivalent_components(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.text_digest(F.col("text")).alias("digest"))
+    d = graphs.written(table(spark, sf_dir, "documents").select("doc_id", text.text_digest(F.col("text")).alias("digest")))
     first = d.groupBy("digest").agg(F.min("doc_id").alias("root"))
     links = d.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     roots = graphs.components(links)
@@ -299,7 +299,7 @@ def scope_containment(spark, sf_dir):
 def chunk_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     n = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    r = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).join(n, "lang")
+    r = graphs.numbered(d, "lang", "doc_id", "r").join(n, "lang")
     return r.select("doc_id", F.expr("concat(lang, '-', lpad(cast(r as string), length(cast(n as string)), '0'))").alias("chunk"))
 
 
