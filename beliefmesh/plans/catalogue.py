@@ -346,4 +346,4 @@ def graph_json_round_trip(spark, sf_dir):
     return n.join(r, "graph_id", "left").fillna(0, ["relations"])
 
 
-from beliefmesh.plans import graph_queries  # noqa: E402, F401 - registers its queries
+from beliefmesh.plans import document_queries, graph_queries  # noqa: E402, F401 - register their queries
