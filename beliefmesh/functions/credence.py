@@ -16,6 +16,11 @@ def beta_variance(a: Column, b: Column) -> Column:
     return m * (1 - m) / (a + b + 1)
 
 
+def from_mean_concentration(mean: Column, concentration: Column) -> Column:
+    """Struct (alpha, beta) of that mean and that sum; null outside 0 < mean < 1 and for a sum that isn't positive."""
+    return F.when((mean > 0) & (mean < 1) & (concentration > 0) & (concentration < float("inf")), F.struct((mean * concentration).alias("alpha"), ((1 - mean) * concentration).alias("beta")))
+
+
 def from_mean_sd(mean: Column, sd: Column) -> Column:
     """Struct (alpha, beta), null where sd^2 >= mean (1 - mean)."""
     k = mean * (1 - mean) / (sd * sd) - 1
@@ -31,6 +36,12 @@ def parse_credence(text: Column) -> Column:
     return F.when((p >= 0) & (p <= 1), point).when((a > 0) & (b > 0) & (a < float("inf")) & (b < float("inf")), F.struct(null.alias("p"), a.alias("alpha"), b.alias("beta")))
 
 
+def format_credence(c: Column) -> Column:
+    """`0.3` or `beta:8,2`, whole numbers without a fraction; the inverse of parse_credence."""
+    number = lambda x: F.when(x == F.floor(x), F.when(F.abs(x) < 1e15, x.cast("long").cast("string")).otherwise(x.cast("string"))).otherwise(x.cast("string"))
+    return F.when(c["p"].isNotNull(), number(c["p"])).when(c["alpha"].isNotNull(), F.concat(F.lit("beta:"), number(c["alpha"]), F.lit(","), number(c["beta"])))
+
+
 def logit_gap(p: Column, q: Column) -> Column:
     """ln odds p - ln odds q; 0 within 1e-12, infinite where only one side is certain."""
     return F.when(F.abs(p - q) <= 1e-12, F.lit(0.0)).when((p >= 1) | (q <= 0), F.lit(float("inf"))).when((p <= 0) | (q >= 1), F.lit(float("-inf"))).otherwise(F.log(p / (1 - p)) - F.log(q / (1 - q)))

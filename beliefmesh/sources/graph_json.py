@@ -2,18 +2,22 @@
 
 `load` turns documents into node and relation tables and a table of errors, so that one bad document doesn't stop the
 others; `dump` is its inverse. A credence is a number in [0, 1] or an object of alpha and beta, both positive and
-finite. All of it is built-in expressions; parsing needs no shuffle, the checks of ids shuffle ids only.
+finite. All of it is built-in expressions; documents are parsed once, into a table in the shared folder, and the checks of
+ids shuffle ids only. `load_strict` also applies the rules for writing, and leaves out the graphs that break any.
 
 Defined cases: a text that isn't such a document gives no nodes and one error; a null text likewise; a missing kind is
-`proposition`; unknown fields are ignored; attributes and obligations are kept as JSON text.
+`proposition`; a field that the format doesn't have is an error (`unknown-field`, with its place) and isn't read; attributes
+and obligations are kept as JSON text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beliefmesh.operators import graphs
+from beliefmesh.operators import graphs, rules
 
 VERSION = 1
 ANCHOR = "struct<document:string,locator:string,quote:string,digest:string>"
@@ -44,11 +48,48 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("graph_id"), F.col("value").alias("text"))
 
 
+FIELDS = {
+    "document": ["format", "version", "nodes", "relations"],
+    "nodes": ["id", "kind", "statement", "sources", "base", "stated", "attributes"],
+    "relations": ["id", "type", "source", "target", "strength", "sensitivity", "false_pass", "attributes", "obligation"],
+    "sources": ["document", "locator", "quote", "digest"],
+    "credence": ["alpha", "beta"],
+}
+
+
+def extra(raw: Column, what: str) -> Column:
+    """Keys of a JSON object that the format doesn't have; empty for what is no object."""
+    return F.coalesce(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, FIELDS[what]))), F.array().cast("array<string>"))
+
+
+def unknown_fields(what: str, raw: Column) -> Column:
+    """Places of unknown fields in the JSON of a node or relation."""
+    parts = [extra(raw, what)]
+    parts += [nested(raw, c) for c in CREDENCES[what]]
+    if what == "nodes":
+        anchors = F.from_json(F.get_json_object(raw, "$.sources"), "array<string>")
+        parts.append(F.coalesce(F.flatten(F.transform(anchors, lambda a: F.transform(extra(a, "sources"), lambda k: F.concat(F.lit("sources."), k)))), F.array().cast("array<string>")))
+    return F.concat(*parts)
+
+
+def nested(raw: Column, field: str) -> Column:
+    return F.transform(extra(F.get_json_object(raw, f"$.{field}"), "credence"), lambda k: F.concat(F.lit(f"{field}."), k))
+
+
+def listed(rows: Column, what: str) -> Column:
+    return F.transform(rows, lambda x, i: F.transform(unknown_fields(what, x), lambda k: F.concat(F.lit(f"{what}["), i.cast("string"), F.lit("]."), k)))
+
+
 def load(documents: DataFrame, name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, relations and errors (graph_id, code, item) of documents(graph_id, text). name: the format's name, if it
     is to be checked."""
-    parsed = documents.select("graph_id", F.from_json("text", DOCUMENT, {"allowNonNumericNumbers": "false"}).alias("d"))
-    tables, errors = {}, []
+    strict = {"allowNonNumericNumbers": "false"}
+    raw = F.from_json("text", "nodes array<string>, relations array<string>", strict)
+    places = [F.transform(extra(F.col("text"), "document"), lambda k: F.concat(F.lit("document."), k))]
+    for what in CREDENCES:
+        places.append(F.coalesce(F.flatten(listed(raw[what], what)), F.array().cast("array<string>")))
+    parsed = graphs.written(documents.select("graph_id", F.from_json("text", DOCUMENT, strict).alias("d"), F.concat(*places).alias("unknown")))
+    tables, errors = {}, [parsed.select("graph_id", F.lit("unknown-field").alias("code"), F.explode("unknown").alias("item"))]
     whole = F.col("d.nodes").isNotNull() & F.col("d.relations").isNotNull()
     known = F.coalesce((F.col("d.version") == str(VERSION)) & (F.lit(True) if name is None else F.col("d.format") == name), F.lit(False))
     errors.append(parsed.where(~F.coalesce(whole, F.lit(False))).select("graph_id", F.lit("malformed").alias("code"), F.lit("document").alias("item")))
@@ -70,6 +111,50 @@ def load(documents: DataFrame, name: str | None = None) -> tuple[DataFrame, Data
     return nodes, tables["relations"], found
 
 
+def load_strict(documents: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As load, with the rules for writing applied to every node and relation: a graph with any error is left out of the
+    nodes and relations, as a whole."""
+    nodes, relations, errors = load(documents, name)
+    found = graphs.written(errors.unionByName(rules.violations(nodes, relations).select("graph_id", "code", "item")).distinct())
+    bad = found.select("graph_id").distinct()
+    return nodes.join(bad, "graph_id", "left_anti"), relations.join(bad, "graph_id", "left_anti"), found
+
+
+def json_schema(name: str) -> dict:
+    """The format as a JSON Schema (2020-12). Rules between rows (unique ids, ends that exist, no cycles) are load's."""
+    text, probability = {"type": "string", "minLength": 1}, {"type": "number", "minimum": 0, "maximum": 1}
+    credence = {"oneOf": [probability, {"type": "object", "properties": {k: {"type": "number", "exclusiveMinimum": 0} for k in FIELDS["credence"]}, "required": FIELDS["credence"], "additionalProperties": False}]}
+    maybe = lambda x: {"oneOf": [x, {"type": "null"}]}
+    closed = lambda properties, required: {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
+    anchor = closed({k: text if k == "document" else maybe(text) for k in FIELDS["sources"]}, ["document"])
+    field = {"id": text, "kind": text, "type": text, "source": text, "target": text, "statement": maybe(text), "sources": {"type": "array", "items": anchor}, "attributes": {"type": "object"}}
+    kinds = {
+        kind: closed({"kind": {"const": kind}, **{k: {"theorem": text, "script": {"type": "string", "pattern": r"\.py$"}, "digest": {"type": "string", "pattern": "^sha256:[0-9a-f]{64}$"}, "status": {"type": "integer"}, "value": {"type": "number"}, "tolerance": {"type": "number", "exclusiveMinimum": 0}, "anchor": anchor}[k] for k in [*needed, *more]}}, ["kind", *needed])
+        for kind, (needed, more) in rules.DISCHARGES.items()
+    }
+    field["obligation"] = maybe(closed({"statement": text, "discharge": {"oneOf": [{"type": "null"}, *kinds.values()]}}, ["statement"]))
+    of = lambda what, required: {"type": "array", "items": closed({k: field.get(k, maybe(credence)) for k in FIELDS[what]}, required)}
+    whole = {"format": {"const": name}, "version": {"const": VERSION}, "nodes": of("nodes", ["id"]), "relations": of("relations", ["id", "type", "source", "target"])}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", **closed(whole, FIELDS["document"])}
+
+
+def write(nodes: DataFrame, relations: DataFrame, name: str, path: str) -> None:
+    """Write each graph as a document under path, in one step: a folder beside it takes the files first, so that a failure
+    leaves what was there."""
+    spark = nodes.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    staging, final = hadoop(f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"), hadoop(path)
+    fs = final.getFileSystem(conf)
+    try:
+        dump(nodes, relations, name).select(F.regexp_replace("text", r"\n$", "").alias("value")).write.text(staging.toString())
+    except Exception:
+        fs.delete(staging, True)
+        raise
+    fs.delete(final, True)
+    if not fs.rename(staging, final):
+        raise OSError(f"can't rename to {path}")
+
+
 def dump(nodes: DataFrame, relations: DataFrame, name: str) -> DataFrame:
     """graph_id, text: the documents of nodes and relations as `load` gives them. A graph is one row, as it is one
     document; absent fields are left out."""

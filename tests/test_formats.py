@@ -1,0 +1,104 @@
+"""Strict reading of graph documents, their schema, writing in one step; credences as text."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from beliefmesh.functions import credence
+from beliefmesh.sources import graph_json
+
+
+def document(**more):
+    return {"format": "own", "version": 1, "nodes": [{"id": "a", "base": 0.3}, {"id": "b", "base": {"alpha": 2, "beta": 3}, "sources": [{"document": "d"}]}], "relations": [{"id": "r", "type": "supports", "source": "a", "target": "b", "strength": 0.5}], **more}
+
+
+def changed(f):
+    d = document()
+    f(d)
+    return d
+
+
+CASES = {
+    "good": (document(), set()),
+    "top": (document(note=1), {("unknown-field", "document.note")}),
+    "node": (changed(lambda d: d["nodes"][1].update(color=1)), {("unknown-field", "nodes[1].color")}),
+    "credence": (changed(lambda d: d["nodes"][1]["base"].update(gamma=1)), {("unknown-field", "nodes[1].base.gamma")}),
+    "anchor": (changed(lambda d: d["nodes"][1]["sources"][0].update(page=1)), {("unknown-field", "nodes[1].sources.page")}),
+    "relation": (changed(lambda d: d["relations"][0].update(weight=1)), {("unknown-field", "relations[0].weight")}),
+    "strength": (changed(lambda d: d["relations"][0].pop("strength")), {("relation-strength-missing", "r")}),
+    "cycle": (changed(lambda d: d["relations"].append({"id": "s", "type": "requires", "source": "b", "target": "a", "strength": 1})), {("cycle", "a r b s a")}),
+    "range": (changed(lambda d: d["nodes"][0].update(base=2)), {("invalid-base", "a")}),
+    "kind": (changed(lambda d: d["nodes"][0].update(kind="")), {("node-kind", "a")}),
+    "format": (document(format="other"), {("unsupported", "document")}),
+}
+
+
+@pytest.fixture(scope="module")
+def loaded(spark):
+    docs = spark.createDataFrame([(k, json.dumps(d)) for k, (d, _) in CASES.items()], "graph_id string, text string")
+    return graph_json.load_strict(docs, "own")
+
+
+def test_strict_reading(loaded):
+    nodes, relations, errors = loaded
+    got = {}
+    for r in errors.collect():
+        got.setdefault(r["graph_id"], set()).add((r["code"], r["item"]))
+    assert got == {k: e for k, (_, e) in CASES.items() if e}
+    assert {r["graph_id"] for r in nodes.collect()} == {r["graph_id"] for r in relations.collect()} == {"good"}
+
+
+def test_writing_in_one_step(spark, loaded, tmp_path):
+    nodes, relations, _ = loaded
+    path = f"{tmp_path}/graphs"
+    for _ in range(2):
+        graph_json.write(nodes, relations, "own", path)
+    back = graph_json.load(spark.read.text(path).select(F.lit("good").alias("graph_id"), F.col("value").alias("text")), "own")
+    rows = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+    assert rows(back[0]) == rows(nodes) and rows(back[1]) == rows(relations) and back[2].count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["graphs"]
+
+
+def fits(x, schema):
+    """The part of JSON Schema that the format's schema uses."""
+    import re
+
+    if "oneOf" in schema:
+        return sum(fits(x, s) for s in schema["oneOf"]) == 1
+    if "const" in schema:
+        return x == schema["const"]
+    kinds = {"string": str, "object": dict, "array": list, "number": (int, float), "integer": int, "null": type(None)}
+    if not isinstance(x, kinds[schema["type"]]) or isinstance(x, bool):
+        return False
+    if isinstance(x, str):
+        return len(x) >= schema.get("minLength", 0) and bool(re.search(schema.get("pattern", ""), x))
+    if isinstance(x, (int, float)):
+        return schema.get("minimum", x) <= x <= schema.get("maximum", x) and x > schema.get("exclusiveMinimum", x - 1)
+    if isinstance(x, list):
+        return all(fits(y, schema["items"]) for y in x)
+    if isinstance(x, dict) and "properties" in schema:
+        return set(schema["required"]) <= set(x) <= set(schema["properties"]) and all(fits(v, schema["properties"][k]) for k, v in x.items())
+    return True
+
+
+def test_schema_says_what_reading_says():
+    schema = graph_json.json_schema("own")
+    between_rows = {"strength", "cycle"}
+    for k, (d, errors) in CASES.items():
+        assert fits(d, schema) == (not errors or k in between_rows), k
+    owed = lambda x: fits(changed(lambda d: d["relations"][0].update(obligation=x)), schema)
+    assert owed(None) and owed({"statement": "s"}) and owed({"statement": "s", "discharge": {"kind": "symbolic", "script": "a.py"}}) and not owed({"statement": "s", "discharge": {"kind": "formal"}}) and not owed({"statement": ""})
+    json.dumps(schema)
+
+
+def test_credences_as_text(spark):
+    texts = ["0.3", "1", "beta:8,2", "BETA: 1.5 , 2", "beta:0,1", "1.2", "x", "beta:1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", credence.parse_credence(F.col("t")).alias("c"))
+    got = {r["t"]: r["s"] for r in df.select("t", credence.format_credence(F.col("c")).alias("s")).collect()}
+    assert got == {"0.3": "0.3", "1": "1", "beta:8,2": "beta:8,2", "BETA: 1.5 , 2": "beta:1.5,2", "beta:0,1": None, "1.2": None, "x": None, "beta:1": None}
+    made = spark.createDataFrame([(0.25, 8.0, 0.1), (0.25, -1.0, 0.5), (1.0, 2.0, 0.1)], "m double, k double, s double")
+    rows = made.select(credence.from_mean_concentration(F.col("m"), F.col("k")).alias("a"), credence.from_mean_sd(F.col("m"), F.col("s")).alias("b")).collect()
+    assert tuple(rows[0]["a"]) == (2.0, 6.0) and rows[1]["a"] is None and rows[2]["a"] is None and rows[1]["b"] is None
+    a, b = rows[0]["b"]
+    assert a / (a + b) == pytest.approx(0.25) and a * b / (a + b) ** 2 / (a + b + 1) == pytest.approx(0.01)
