@@ -111,7 +111,7 @@ def load(documents: DataFrame, name: str | None = None) -> tuple[DataFrame, Data
     return nodes, tables["relations"], found
 
 
-def load_strict(documents: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_strict(documents: DataFrame, name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As load, with the rules for writing applied to every node and relation: a graph with any error is left out of the
     nodes and relations, as a whole."""
     nodes, relations, errors = load(documents, name)

@@ -1,0 +1,89 @@
+"""Commands on files, from an empty graph to answers, and their failures."""
+
+import hashlib
+import json
+
+import pytest
+from test_rubric import TOML
+
+from beliefmesh import cli
+
+
+@pytest.fixture
+def run(spark, capsys):
+    def call(*args):
+        status = cli.main([*map(str, args), "--json"])
+        out = json.loads(capsys.readouterr().out)
+        assert (status == 0) == ("error" not in out) and out.get("error", {}).get("code", cli.CODES[0]) in cli.CODES
+        return out
+
+    return call
+
+
+def code(out):
+    return out["error"]["code"]
+
+
+def test_make_ask_and_diagnose(run, tmp_path):
+    g = tmp_path / "g.json"
+    assert run("version")["version"] == cli.VERSION
+    run("init", g)
+    assert code(run("init", g)) == "file-exists" and run("init", g, "--force")
+    run("add-node", g, "premise", "--base", "0.8", "--source", "doi:1#p2", "--statement", "It fell.")
+    run("add-node", g, "claim", "--base", "0.1", "--stated", "0.9")
+    assert run("add-node", g, "clam")["similar"] == ["claim"]
+    assert code(run("add-node", g, "claim")) == "duplicate-id" and code(run("add-node", g, "x", "--base", "2")) == "invalid-argument"
+    run("relate", g, "supports", "premise", "claim", "--strength", "beta:8,2")
+    assert code(run("relate", g, "requires", "claim", "premise", "--strength", "0.5")) == "cycle" and code(run("relate", g, "requires", "clain", "premise", "--strength", "0.5")) == "unknown-node" and code(run("relate", g, "requires", "claim", "premise")) == "invalid-argument"
+    text = json.loads(g.read_text())
+    assert text["nodes"][0]["sources"] == [{"document": "doi:1", "locator": "p2"}] and text["relations"][0]["strength"] == {"alpha": 8, "beta": 2} and len(text["nodes"]) == 3
+    found = run("query", g, "marginal", "claim", "--draws", "200", "--seed", "3")
+    assert found["point"] == pytest.approx(0.1 + 0.9 * 0.8 * 0.8) and found["band"]["q05"] < found["point"] < found["band"]["q95"]
+    assert run("query", g, "conditional", "premise", "--given", "claim=true", "--draws", "0")["point"] > 0.8
+    assert run("query", g, "intervene", "claim", "--set", "premise=false", "--draws", "0")["point"] == pytest.approx(0.1)
+    assert code(run("query", g, "marginal", "clame")) == "unknown-node" and code(run("query", g, "odds", "claim")) == "invalid-argument" and code(run("query", g, "marginal", "claim", "--given", "premise")) == "invalid-argument"
+    ids = [f["id"] for f in run("diagnose", g, "claim")["findings"]]
+    assert ids[:2] == ["overclaim:claim", "sensitivity:strength:premise-supports-claim"] or "crux:strength:premise-supports-claim" in ids
+    assert run("diagnose", g, "--targets", "stated")["findings"][-1]["target"] == "claim" and code(run("diagnose", g, "nobody")) == "unknown-node" and code(run("diagnose", g, "claim", "--given", "claim=true")) == "invalid-argument" and code(run("diagnose", g, "--min-supports", "1")) == "invalid-argument"
+    assert run("check", g)["variables"] == 2
+    run("relate", g, "requires", "clam", "claim", "--strength", "1")
+    assert code(run("check", g)) == "compile-error" and code(run("query", g, "marginal", "claim")) == "compile-error"
+    g.write_text(g.read_text().replace('"version": 1', '"version": 7'))
+    assert code(run("check", g)) == "invalid-graph" and code(run("check", tmp_path / "no.json")) == "file-not-found"
+
+
+def test_documents_and_rubrics(run, tmp_path):
+    (tmp_path / "paper.tex").write_text("\\begin{document}We counted 12 reeds at 40 m, see (3). Reeds grow \\cite{z}.\\end{document}")
+    (tmp_path / "r.toml").write_text(TOML)
+    g, r = tmp_path / "g.json", tmp_path / "r.toml"
+    out = run("ingest", g, tmp_path / "paper.tex", "--rubric", r, "--id", "paper")
+    assert out["nodes"] == 2 and out["unresolved"] == ["z"] and code(run("ingest", g, tmp_path / "paper.tex")) == "file-exists"
+    (tmp_path / "x.pdf").write_text("x")
+    assert code(run("ingest", tmp_path / "h.json", tmp_path / "x.pdf")) == "missing-extra" and code(run("ingest", tmp_path / "h.json", tmp_path / "y.tex")) == "file-not-found"
+    assert run("check", g, "--rubric", r, "--level", "typed")["violations"] == []
+    assert run("split", g, "s-1", "--clause", "12 reeds", "--clause", "at 40 m")["children"] == ["s-1a", "s-1b"] and code(run("split", g, "s-2", "--clause", "none")) == "invalid-argument"
+    run("annotate", g, "s-1a", "--rubric", r, "--type", "reading", "--set", "words=reeds", "--set", "count=12", "--not-assessed", "too few")
+    assert code(run("annotate", g, "s-1a", "--rubric", r, "--set", "count=13")) == "invalid-argument" and code(run("annotate", g, "s-9", "--rubric", r, "--type", "guess")) == "unknown-node"
+    found = run("check", g, "--rubric", r, "--level", "assessed")
+    assert code(found) == "rubric-violation" and {f["id"] for f in found["error"]["details"]} == {"untyped:s-1b"}
+    cover = run("coverage", g, "--rubric", r)
+    assert cover["untyped"] == ["s-1b"] and cover["not_assessed"] == {"s-1a": "too few"}
+    r.write_text("x = ")
+    assert code(run("coverage", g, "--rubric", r)) == "invalid-rubric" and code(run("coverage", g, "--rubric", tmp_path / "none.toml")) == "file-not-found"
+
+
+def test_obligations(run, tmp_path):
+    (tmp_path / "ok.py").write_text("assert 2 > 1")
+    (tmp_path / "paper.txt").write_text("It fell twice.")
+    digest = "sha256:" + hashlib.sha256((tmp_path / "ok.py").read_bytes()).hexdigest()
+    owed = lambda name, d: {"id": name, "type": "supports", "source": "a", "target": "t", "strength": 0.5, "obligation": {"statement": "s", "discharge": d}}
+    graph = {"format": "any", "version": 1, "nodes": [{"id": "a", "base": 0.5}, {"id": "t", "base": 0.1}], "relations": [owed("r1", {"kind": "symbolic", "script": "ok.py", "digest": digest, "status": 0}), owed("r2", {"kind": "citation", "anchor": {"document": "paper.txt", "quote": "fell twice"}}), owed("r3", {"kind": "judgement"})]}
+    g = tmp_path / "g.json"
+    g.write_text(json.dumps(graph))
+    assert [c["outcome"] for c in run("verify", g)["checks"]] == ["unchecked", "passed", "judgement"]
+    assert [c["outcome"] for c in run("verify", g, "--run-scripts")["checks"]] == ["passed", "passed", "judgement"]
+    out = run("sorries", g, "t")
+    assert out["discharged"] == ["r1", "r2"] and [s["relation"] for s in out["sorries"]] == ["r3"] and code(run("sorries", g, "zz")) == "unknown-node"
+    (tmp_path / "paper.txt").write_text("It rose.")
+    assert code(run("verify", g)) == "verification-failed"
+    assert cli.main(["sorries", str(g), "t"]) == 0 and cli.main(["verify", str(g)]) == 1
