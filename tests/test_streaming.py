@@ -1,0 +1,40 @@
+"""Evidence as a table and as a stream: the same posteriors, and the network's."""
+
+import pytest
+from pyspark.sql import functions as F
+from test_compiler import graph, node, relation
+
+from beliefmesh.operators import compiler, inference
+from beliefmesh.streaming import evidence
+
+SCHEMA = "claim string, at timestamp, passed boolean, sensitivity double, false_pass double"
+ROWS = [("a", "2024-01-01 00:00:01", True, 0.8, 0.3), ("a", "2024-01-01 00:30:00", False, 0.7, 0.2), ("b", "2024-01-01 00:10:00", True, 0.6, 0.5), ("a", "2024-01-01 02:00:00", True, 0.9, 0.1), ("b", "2024-01-01 02:10:00", None, 0.6, 0.5), ("c", "2024-01-01 00:00:00", True, 1.0, 0.0), ("d", "2024-01-01 00:00:00", False, 1.0, 0.5), ("e", "2024-01-01 00:00:00", False, 1.0, 0.5), ("e", "2024-01-01 00:00:00", True, 0.5, 0.0)]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame(ROWS, SCHEMA.replace("at timestamp", "at string")).withColumn("at", F.to_timestamp("at"))
+
+
+def test_posteriors_are_the_networks(table):
+    got = {r["claim"]: (r["n"], r["posterior"], r["error"]) for r in evidence.posteriors(table, ["claim"], "0.3D").collect()}
+    for name in "ab":
+        own = [r for r in ROWS if r[0] == name and r[2] is not None]
+        g = graph([node("h", 0.3)] + [node(f"o{i}") for i in range(len(own))], [relation(f"r{i}", "observes", "h", f"o{i}", None, r[3], r[4]) for i, r in enumerate(own)])
+        want, _ = inference.answer(compiler.compile_graph(g)[0], {"h": True}, {f"o{i}": r[2] for i, r in enumerate(own)})
+        assert got[name] == (len(own), pytest.approx(want), None)
+    assert got["c"][1:] == (1.0, None) and got["d"][1:] == (0.0, None) and got["e"][1:] == (None, "zero-probability")
+
+
+def test_a_stream_gives_the_same(spark, table, tmp_path):
+    for i, late in enumerate(["2024-01-01 01:00:00", "2024-01-02 00:00:00"]):
+        table.where(f"at < '{late}'" + (" and at >= '2024-01-01 01:00:00'" if i else "")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = evidence.posteriors(stream, ["claim"], "0.3D").writeStream.outputMode("complete").format("memory").queryName("claims").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    key = lambda df: sorted(map(str, df.select("claim", "n", F.round("posterior", 9).alias("p"), "error").collect()))
+    assert key(spark.table("claims")) == key(evidence.posteriors(table, ["claim"], "0.3D"))
+    hours = evidence.posteriors(stream, ["claim"], window="1 hour", watermark="30 minutes").writeStream.outputMode("append").format("memory").queryName("hours").trigger(availableNow=True).start()
+    hours.awaitTermination(120)
+    closed = {(r["claim"], r["window"]["start"].hour): r["n"] for r in spark.table("hours").collect()}
+    assert closed == {("a", 0): 2, ("b", 0): 1, ("c", 0): 1, ("d", 0): 1, ("e", 0): 2}  # the last hour is still open
