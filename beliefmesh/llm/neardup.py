@@ -5,8 +5,8 @@
    the xor of two maps has as many ones as the samples differ, less collisions. Equal sets become one class, named by
    its smallest id; only class representatives go on.
 2. Stars: every class is paired with the smallest class of its band buckets, then with the smallest of each bucket where
-   that is in another component still. Pairs whose odd sketches differ too much are dropped (4.5 standard deviations
-   beyond what the threshold allows), the rest is confirmed on full sets. Components of the confirmed links follow from
+   that is in another component still. Pairs whose odd sketches differ too much are dropped (5 standard deviations
+   beyond what the threshold gives), the rest is confirmed on full sets. Components of the confirmed links follow from
    alternating large-star and small-star steps.
 3. The rest: only pairs of a bucket that lie in different components can still matter. They are compared by odd sketch
    within the bucket, confirmed on full sets, and joined to the components. So a large group of near copies costs
@@ -90,11 +90,18 @@ class Hashing:
         return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def odd_limit(percent: int) -> int:
-    """Most differing bits of two odd sketches at similarity `percent` / 100, 4.5 standard deviations included."""
-    differ = SAMPLES * (1 - percent / 100)
-    shift = lambda d: BITS / 2 * (1 - math.exp(-4 * d / BITS))
-    return math.ceil(shift(differ + 4.5 * math.sqrt(differ * percent / 100)) + 2)
+def odd_limit(percent: int, sigmas: float = 5.0) -> int:
+    """Most differing bits of two odd sketches at similarity `percent` / 100, with `sigmas` standard deviations of both
+    errors: of the sample (how many of its values differ) and of the folding (how many of their bits meet)."""
+    t = percent / 100
+    differ = SAMPLES * (1 - t)
+    flips = 2 * differ
+    expected = BITS / 2 * (1 - math.exp(-2 * flips / BITS))
+    sampling = 2 * math.exp(-2 * flips / BITS) * math.sqrt(differ * t)
+    # bins that hold an odd number of flips: variance of their count
+    two, four = (1 - 2 / BITS) ** flips, (1 - 4 / BITS) ** flips
+    folding = BITS / 4 * (1 - four) + BITS**2 / 4 * (four - two**2)
+    return math.ceil(expected + sigmas * math.sqrt(sampling**2 + folding))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
