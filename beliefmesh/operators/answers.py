@@ -72,15 +72,23 @@ def check_shape(kind: str, target: dict, given: dict, do: dict) -> None:
         raise QuestionError("invalid-argument", wrong)
 
 
-def require_variables(graph: dict, names: dict[str, bool]) -> None:
+class Ready:
+    """What all questions to a graph need, found once."""
+
+    def __init__(self, graph: dict):
+        self.graph, self.defects = graph, compiler.defects(graph)
+        self.nodes = {n["id"]: None for n in graph["nodes"]}
+        self.network, _, self.errors = (None, None, []) if self.defects else compiler.compile_graph(graph)
+        self.used = {k for ids in compiler.inference_sets(graph).values() for k in ids}
+
+
+def require_variables(ready: Ready, names: dict[str, bool]) -> None:
     """Every name is a node that takes part in inference; else an error, for an unknown one with the closest ids."""
-    nodes = [n["id"] for n in graph["nodes"]]
-    used = {k for ids in compiler.inference_sets(graph).values() for k in ids}
     for name in names:
-        if name not in nodes:
-            near = difflib.get_close_matches(name, nodes, 3)
+        if name not in ready.nodes:
+            near = difflib.get_close_matches(name, list(ready.nodes), 3)
             raise QuestionError("unknown-node", name + (f"; did you mean {', '.join(near)}?" if near else ""))
-        if name not in used:
+        if name not in ready.used:
             raise QuestionError("invalid-argument", f"{name} has no base and no inferential relation")
 
 
@@ -237,24 +245,24 @@ def overridden(graph: dict, network: list[dict], values: dict[str, float]) -> li
     return compiler.with_parameters(network, {place[k]: x for k, x in values.items()})
 
 
-def question(graph: dict, q: dict, use_observed: bool, draws: int, seed: int) -> diagnostics.Asking:
+def question(ready: Ready, q: dict, use_observed: bool, draws: int, seed: int) -> diagnostics.Asking:
     """An answer as a dict of ANSWER's fields."""
     out = dict.fromkeys(("point", "q05", "q50", "q95", "mean_over_draws", "draws", "code", "detail"))
     target, given, do, values = (dict(q[k] or {}) for k in ("target", "given", "do", "overrides"))
     try:
-        if wrong := compiler.defects(graph):
-            raise QuestionError("invalid-graph", ", ".join(wrong))
+        graph, network = ready.graph, ready.network
+        if ready.defects:
+            raise QuestionError("invalid-graph", ", ".join(ready.defects))
         observed = observed_values(graph) if use_observed else {}
         for names in (target, given, observed, do):
-            require_variables(graph, names)
+            require_variables(ready, names)
         clash = [k for k in observed if given.get(k, observed[k]) != observed[k]]
         if clash:
             raise QuestionError("invalid-argument", f"{clash[0]} is given another value than it says of itself")
         check_shape(q["kind"], target, {**given, **observed}, do)
-        network, _, errors = compiler.compile_graph(graph)
         if network is None:
-            raise QuestionError("compile-error", json.dumps(compile_failure(graph, errors)))
-        network = overridden(graph, network, values)
+            raise QuestionError("compile-error", json.dumps(compile_failure(graph, ready.errors)))
+        network = overridden(graph, network, values) if values else network
         evidence = {**given, **observed}
         check_consistent(network, evidence, do)
         items = [("observed" if k in observed else "given", k, x) for k, x in evidence.items()] + [("set", k, x) for k, x in do.items()]
@@ -297,8 +305,8 @@ def ask(nodes: DataFrame, relations: DataFrame, questions: DataFrame, use_observ
     def run(batch: list[dict]) -> list[list[dict]]:
         # maps come as lists of pairs
         asked = [(i, {**q, **{k: dict(q[k] or ()) for k in QUESTION if k != "kind"}}) for i, row in enumerate(batch) for q in row["questions"]]
-        blank = {"nodes": [], "relations": []}
-        got = diagnostics.lockstep([question(batch[i] if batch[i]["nodes"] is not None else blank, q, use_observed, draws, seed) for i, q in asked])
+        ready = [Ready(row if row["nodes"] is not None else {"nodes": [], "relations": []}) for row in batch]
+        got = diagnostics.lockstep([question(ready[i], q, use_observed, draws, seed) for i, q in asked])
         out: list[list[dict]] = [[] for _ in batch]
         for (i, q), (found,) in zip(asked, got, strict=True):
             out[i].append({"question": q["question"], "kind": q["kind"], **found})

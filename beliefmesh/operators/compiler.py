@@ -270,7 +270,7 @@ def with_parameters(network: list[dict], values: dict[tuple[int, int, str], floa
 # many graphs
 
 
-GRAPHS = 256  # graphs that a worker takes on at once
+GRAPHS = 1024  # graphs that a worker takes on at once
 
 
 def by_graph(df: DataFrame, run, schema: str, *columns: str) -> DataFrame:

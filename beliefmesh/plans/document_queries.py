@@ -9,7 +9,7 @@ from beliefmesh.operators import edits, graphs, obligations, rubric, rules
 from beliefmesh.plans.catalogue import NORM, tree
 from beliefmesh.plans.families import table
 from beliefmesh.plans.registry import query, r6
-from beliefmesh.sources import chunks
+from beliefmesh.sources import chunks, latex
 from beliefmesh.sources.rubric_file import rubric_from_text
 
 # conversations as documents: every fourth turn is an entry with a key, the others cite two keys
@@ -205,3 +205,28 @@ def customer_cycles(spark, sf_dir):
     """A graph of every customer: five places, a relation for each order; the places that lie on a cycle."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), F.concat(F.lit("p"), F.col("o_orderkey") % 5).alias("source"), F.concat(F.lit("p"), F.expr("(o_orderkey div 5) % 5")).alias("target"), F.lit("supports").alias("type"))
     return graphs.cycle_nodes(o.distinct())
+
+
+WORDS = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' '{g}), ' +', ' '{g}))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {WORDS.format(g=", 'g'")} AS w FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT conv_id, turn, 0 AS part, 'sentence' AS unit, 'Turn ' || w || '.' AS text, NULL AS key FROM c WHERE turn % 3 <> 2
+UNION ALL SELECT conv_id, turn, 1, 'footnote', 'Note ' || turn || '.', NULL FROM c WHERE turn % 3 = 1
+UNION ALL SELECT conv_id, turn, 0, 'equation', '\\begin{{equation}} x_{{' || turn || '}} \\end{{equation}}', NULL FROM c WHERE turn % 3 = 2
+UNION ALL SELECT conv_id, 1000 + turn, 0, 'reference', 'Entry ' || turn || '.', 'k' || turn FROM c)
+SELECT 'd' || conv_id AS document, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1)::BIGINT AS ord, unit, text, key FROM u""")
+def latex_chunks(spark, sf_dir):
+    """Conversations as LaTeX documents: turns as sentences (some with a footnote) and displays, with comments, a macro of
+    the document's own, and a bibliography in a file of its own."""
+    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.expr(WORDS.format(g="")).alias("w"))
+    sentence = F.concat(F.lit("\\turn{"), "w", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("}.\\footnote{Note "), "turn", F.lit(".} % hidden. Text.\n"))).otherwise(F.lit("}. % more. Words\n")))
+    display = F.concat(F.lit("\n\\begin{equation}\\label{e"), "turn", F.lit("} x_{"), "turn", F.lit("} % here\n\\end{equation}\n"))
+    rows = c.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 3 == 2, display).otherwise(sentence).alias("s")))), lambda x: x["s"]), "").alias("body"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("\\bibitem{k"), "turn", F.lit("} Entry "), "turn", F.lit(".\n")).alias("s")))), lambda x: x["s"]), "").alias("entries"),
+    )
+    main = F.concat(F.lit("\\newcommand{\\turn}[1]{Turn #1}\n\\begin{document}\n\\section{Head. Text}\n"), "body", F.lit("\\bibliography{b}\n\\end{document}\n"))
+    bbl = F.concat(F.lit("\\begin{thebibliography}{9}\n"), "entries", F.lit("\\end{thebibliography}\n"))
+    files = rows.select(F.concat(F.lit("d"), "conv_id").alias("document"), F.explode(F.array(F.struct(F.lit("main.tex").alias("path"), main.alias("text")), F.struct(F.lit("main.bbl").alias("path"), bbl.alias("text")))).alias("f")).select("document", "f.*")
+    return latex.read_latex(files).select("document", "ord", "unit", "text", "key")

@@ -13,7 +13,7 @@ from beliefmesh.operators import answers, compiler, diagnostics
 
 def ask(g, kind="joint", target=None, given=None, do=None, overrides=None, observed=False, draws=0, seed=0):
     q = {"kind": kind, "target": target, "given": given, "do": do, "overrides": overrides}
-    return diagnostics.lockstep([answers.question(g, q, observed, draws, seed)])[0][0]
+    return diagnostics.lockstep([answers.question(answers.Ready(g), q, observed, draws, seed)])[0][0]
 
 
 def test_random_questions():
