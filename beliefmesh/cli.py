@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beliefmesh.operators import answers, diagnostics, edits, obligations, rubric as rubrics
+from beliefmesh.operators import answers, diagnostics, edits, graphs, obligations, rubric as rubrics
 from beliefmesh.operators.compiler import NODE, RELATION, gathered, inference_sets
 from beliefmesh.sources import chunks, graph_json, latex, rubric_file
 
@@ -56,10 +56,13 @@ class File:
         except (OSError, UnicodeDecodeError) as e:
             raise Failure("io-error", f"can't read {path}: {e}") from None
         documents = session().createDataFrame([("graph", text)], "graph_id string, text string")
-        self.nodes, self.relations, errors = graph_json.load_strict(documents)
+        nodes, relations, errors = graph_json.load_strict(documents)
         found = [f"{r['code']} {r['item']}" for r in errors.collect()]
         if found:
             raise Failure("invalid-graph", f"{path} breaks rules", sorted(found))
+        # one document: its rows are at hand, so that each command reads it once
+        self.nodes, self.relations = (session().createDataFrame(df.collect(), df.schema) for df in (nodes, relations))
+        graphs.release(session())
         self.format = json.loads(text)["format"]
 
     def graph(self) -> dict:
