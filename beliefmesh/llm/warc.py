@@ -55,9 +55,11 @@ def deduplicated(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html, digest, first: the smallest page id with the payload, null where it is stored by itself."""
     base = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
-    # equal payloads meet as digests only; those that occur once are left out before the join
+    # equal payloads meet as digests only; those that occur once are left out before the join. As a table its size is known
+    # before the join, so that payloads are dealt by digest, to as many archives as partitions, only where it is large
     firsts = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    return base.join(firsts.drop("n").withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left").drop("d")
+    firsts = materialise(firsts.select(F.col("digest").alias("d"), "first"))
+    return base.join(firsts, F.col("digest") == F.col("d"), "left").drop("d")
 
 
 def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
