@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -69,3 +70,24 @@ def test_a_group_weighs_a_thousand_networks_in_a_few_operations(spark, monkeypat
     monkeypatch.setattr(columns.Group, "one", lambda *x: calls.append(1) or one(*x))
     below, above = group.worlds({5: True}, {}, {})
     assert len(calls) == 6 and below == pytest.approx([1.0] * 1000) and above == pytest.approx([1 - 0.5 * 0.75**5] * 1000)
+
+
+def test_quantiles_are_those_of_numpy():
+    x = np.random.default_rng(4).random((9, 1000))
+    assert inference.quantiles(x) == pytest.approx(np.quantile(x, [0.05, 0.5, 0.95], axis=1), rel=1e-15)
+
+
+def test_bands_of_a_group_equal_those_of_each_network():
+    """Also where a parameter is a point in some networks of the group, or evidence is impossible; without a Beta, no band."""
+    beta = lambda x, y: {"alpha": x, "beta": y}
+    net = lambda b, own, s: [{"name": "p", "base": b, "base_beta": own, "links": []}, {"name": "x", "base": 0.25, "base_beta": None, "links": [{"parent": 0, "type": "supports", "a": 0.5, "b": 0.0, "a_beta": s, "b_beta": None}]}]
+    nets = [net(0.5, beta(2.0, 3.0), beta(4.0, 2.0)), net(0.5, None, beta(4.0, 2.0)), net(0.0, None, beta(1.0, 2.0)), net(0.5, None, None), [*net(0.5, beta(1.0, 1.0), None)]]
+    link = pa.struct([*LINK, *((f"{k}_beta", pa.struct([("alpha", pa.float64()), ("beta", pa.float64())])) for k in "ab")])
+    kind = pa.list_(pa.struct([("name", pa.string()), ("base", pa.float64()), ("base_beta", link.field("a_beta").type), ("links", pa.list_(link))]))
+    for asked in (({"x": True}, None, None), ({"x": True}, {"p": True}, None)):
+        table, out = columns.table(pa.array(nets, kind)), np.full((4, len(nets)), np.nan)
+        (group,) = table.groups
+        left = inference.bands_together(table, group, pa.array(range(len(nets))), out, asked, 50, 0)
+        for i, own in enumerate(nets):
+            *want, error = inference.band(i, inference.plain(own), asked[0], 50, 0, asked[1])
+            assert i in left if error else i not in left and out[:, i] == pytest.approx([np.nan if x is None else x for x in want], rel=1e-12, nan_ok=True)
