@@ -86,3 +86,37 @@ def test_verify(spark, tmp_path):
 
 def test_rules_hold_for_credences():
     assert diagnostics.mean(credence(None, 1.0, 3.0)) == pytest.approx(0.25)
+
+
+def test_sorries_take_what_a_target_rests_on():
+    """Not all parameters of the graph for each of its targets: 1200 targets of one graph took its square, and more, in memory."""
+    n = 1200
+    g = graph([node("root", 0.9), *(node(f"s{i}", 0.5) for i in range(n))], [owed(f"f{i}", "requires", "root", f"s{i}", {"kind": "judgement"}, 0.5) for i in range(n)])
+    owing = obligations.Owed(g, {})
+    diagnostics.lockstep([owing.impossible()])
+    asked = []
+    for i in range(n):
+        run = obligations.sorries_of(g, f"s{i}", {}, owing)
+        asked.append(next(run))
+    assert all(len(requests) == 6 and len(requests[0][0]) == 2 for requests in asked)
+    (row,) = diagnostics.lockstep([obligations.sorries_of(g, "s7", {}, owing)])[0]
+    assert (row["relation"], row["reason"]) == ("f7", "judgement") and row["sensitivity"] == pytest.approx(-0.5 * 0.1)
+
+
+def test_sorries_equal_the_whole_graphs_derivatives():
+    """With constraints, also in another part of the graph, and steps below what is asked for."""
+    g = argument()
+    g["nodes"] += [node("u", 0.4), node("v", 0.6)]
+    g["relations"] += [relation("x", "exclusive", "b", "c"), relation("y", "exclusive", "u", "v"), owed("ru", "supports", "u", "v", None)]
+    for target in ("t", "z", "v"):
+        rows = diagnostics.lockstep([obligations.sorries_of(g, target, SCRIPTS)])[0]
+        network, carried, _ = obligations.compiler.compile_graph(g)
+
+        def slopes(target=target, network=network, carried=carried):
+            view = yield from diagnostics.View(g, network, carried, {}).begin()
+            return [view, (yield from diagnostics.derivatives(view, view.target(target)))]
+
+        view, found = diagnostics.lockstep([slopes()])[0]
+        want = {p[1]: x for p, x in zip(view.parameters, found, strict=True) if p[0] == "strength"}
+        own = {r["relation"]: r["sensitivity"] for r in rows if r["reason"] and r["sensitivity"] is not None}
+        assert own and own == pytest.approx({k: want[k] for k in own}, abs=1e-12) and all(r["relation"] in own for r in rows if r["reason"] and r["relation"] in want)
