@@ -184,3 +184,50 @@ def test_tables_of_many_graphs(spark):
     assert [v["name"] for v in got[1]["vars"]] == ["a", "b"] and got[2]["vars"] is None and got[2]["errors"][0]["code"] == "missing-base" and len(got[3]["vars"]) == 1
     answers = {r["graph_id"]: (r["answer"], r["error"]) for r in inference.eliminate(compiler.compiled(nodes, relations), {"b": True}).collect()}
     assert answers[1] == (pytest.approx(0.1 * 0.75), None) and answers[2][1] == "no-network" and answers[3][1] == "unknown-node 'b'"
+
+
+def test_graphs_of_one_structure_compile_as_each_does_alone(spark):
+    """Betas, observations, exclusions and what can't be compiled; equivalent nodes and structures of few graphs go one by one."""
+    import random
+
+    rng = random.Random(11)
+    number = lambda: {"p": rng.random(), "alpha": None, "beta": None} if rng.random() < 0.6 else {"p": None, "alpha": 1 + rng.random(), "beta": 2.0}
+    shapes = []
+    for _ in range(9):
+        n = rng.randint(2, 6)
+        links = [(rng.choice(["strength", "strength", "observes", "exclusive", "cites", "equivalent"]), a, b) for b in range(1, n) for a in rng.sample(range(b), rng.randint(0, b))]
+        shapes.append((n, links, {b for k, _, b in links if k == "observes"} | ({n - 1} if rng.random() < 0.2 else set())))
+    graphs = []
+    for k in range(160):
+        n, links, bare = shapes[k % 9] if k else (0, [], set())
+        nodes = [{"id": f"n{i}", "ord": i, "base": None if i in bare else number()} for i in range(n)]
+        relations = [{"id": f"r{i}", "ord": i, "type": rng.choice(["requires", "supports", "refutes"]) if t == "strength" else t, "source": f"n{a}", "target": f"n{b}", "strength": number() if t == "strength" else None, "sensitivity": number() if t == "observes" else None, "false_pass": number() if t == "observes" else None} for i, (t, a, b) in enumerate(links)]
+        graphs.append((nodes, relations))
+    credence = "struct<p:double,alpha:double,beta:double>"
+    nodes = spark.createDataFrame([(k, n["ord"], n["id"], n["base"]) for k, (own, _) in enumerate(graphs) for n in own], f"graph_id long, ord long, id string, base {credence}")
+    relations = spark.createDataFrame([(k, *(r[c] for c in ("ord", "id", "type", "source", "target", "strength", "sensitivity", "false_pass"))) for k, (_, own) in enumerate(graphs) for r in own], f"graph_id long, ord long, id string, type string, source string, target string, strength {credence}, sensitivity {credence}, false_pass {credence}")
+    rows = {r["graph_id"]: r.asDict(recursive=True) for r in compiler.gathered(nodes, relations).collect()}
+    got = {r["graph_id"]: r.asDict(recursive=True) for r in compiler.compiled(nodes, relations).coalesce(1).collect()}
+    assert got.keys() == rows.keys() and len(got) == 159
+    for k, row in rows.items():
+        variables, carried, errors = compiler.compile_graph(row)
+        assert got[k]["vars"] == variables and got[k]["carried"] == carried and got[k]["errors"] == errors
+    assert any(r["errors"] for r in got.values()) and any(x["a_beta"] for r in got.values() for v in r["vars"] or () for x in v["links"])
+
+
+def test_a_structure_is_compiled_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    node = {"ord": 0, "kind": None, "statement": None, "sources": None, "stated": None, "attributes": None}
+    graphs = [{"graph_id": k, "nodes": [{**node, "id": i, "base": {"p": 0.1 + k / 1000, "alpha": None, "beta": None}} for i in "ab"], "relations": [{"ord": 0, "id": "r", "type": ("requires", "supports")[k % 2], "source": "a", "target": "b", "strength": {"p": 0.5, "alpha": None, "beta": None}, "sensitivity": None, "false_pass": None, "attributes": None, "obligation": None}]} for k in range(500)]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    listed = lambda kind: "array<struct<" + ",".join(f"{k}:{v}" for k, v in kind.items()) + ">>"
+    schema = lambda s: to_arrow_schema(spark.createDataFrame([], s).schema)
+    batch = pa.RecordBatch.from_pylist(graphs, schema(f"graph_id long, nodes {listed(compiler.NODE)}, relations {listed(compiler.RELATION)}"))
+    calls, one = [], compiler.compile_graph
+    monkeypatch.setattr(compiler, "compile_graph", lambda g: calls.append(1) or one(g))
+    groups, left = compiler.structures(batch)
+    (out,) = compiler.assembled(batch, groups, schema(f"graph_id long, vars {compiler.VARS}, carried array<string>, errors {compiler.ERRORS}"))
+    assert len(calls) == 1 and not left and len(out) == 500
+    assert [[v["base"] for v in r["vars"]] + [x["type"] for v in r["vars"] for x in v["links"]] for r in out.to_pylist()[:2]] == [[0.1, 0.1, "requires"], [0.101, 0.101, "supports"]]
