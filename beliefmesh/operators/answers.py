@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import difflib
 import json
+from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmesh.operators import compiler, diagnostics, inference, solver
-from beliefmesh.operators.compiler import by_graph, gathered
+from beliefmesh.functions import batches
+from beliefmesh.operators import columns, compiler, diagnostics, inference, solver
+from beliefmesh.operators.compiler import gathered
 
 KINDS = ("marginal", "joint", "conditional", "intervene")
 SEARCH = 256
@@ -300,19 +304,95 @@ def ask(nodes: DataFrame, relations: DataFrame, questions: DataFrame, use_observ
     have = set(questions.columns)
     own = questions.select("graph_id", "question", *[(F.col(k) if k in have else F.lit(None)).cast(kind).alias(k) for k, kind in QUESTION.items()])
     listed = own.groupBy("graph_id").agg(F.collect_list(F.struct("question", *QUESTION)).alias("questions"))
-    rows = listed.join(gathered(nodes, relations), "graph_id", "left")
+    rows = listed.join(gathered(nodes, relations), "graph_id", "left").withColumn("asked", F.to_json("questions"))
+    kind = dict(rows.dtypes)["graph_id"]
+    schemas = [rows.sparkSession.createDataFrame([], f"graph_id {kind}, {x}").schema for x in (ANSWER, f"vars {compiler.VARS}, carried array<string>, errors {compiler.ERRORS}")]
+    batches.limit(rows.sparkSession)
 
     def run(batch: list[dict]) -> list[list[dict]]:
         # maps come as lists of pairs
         asked = [(i, {**q, **{k: dict(q[k] or ()) for k in QUESTION if k != "kind"}}) for i, row in enumerate(batch) for q in row["questions"]]
         ready = [Ready(row if row["nodes"] is not None else {"nodes": [], "relations": []}) for row in batch]
         got = diagnostics.lockstep([question(ready[i], q, use_observed, draws, seed) for i, q in asked])
-        out: list[list[dict]] = [[] for _ in batch]
-        for (i, q), (found,) in zip(asked, got, strict=True):
-            out[i].append({"question": q["question"], "kind": q["kind"], **found})
-        return out
-
-    return by_graph(rows, run, ANSWER)
+        return [{"graph_id": batch[i]["graph_id"], "question": q["question"], "kind": q["kind"], **found} for (i, q), (found,) in zip(asked, got, strict=True)]
+
+    def inside(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, compiled = map(to_arrow_schema, schemas)
+        for b in parts:
+            found, left = together(b, lambda ready, q: question(ready, q, use_observed, draws, seed), draws > 0, out, compiled)
+            yield from found
+            some = max(1, min(compiler.GRAPHS, len(b) * compiler.BYTES // max(1, b.nbytes)))
+            for at in range(0, len(left), some):
+                yield pa.RecordBatch.from_pylist(run(compiler.records(b.take(pa.array(left[at : at + some])).to_struct_array())), out)
+
+    return rows.mapInArrow(inside, schemas[0])
+
+
+def together(b: pa.RecordBatch, question, drawn: bool, out: pa.Schema, compiled: pa.Schema) -> tuple[list[pa.RecordBatch], list[int]]:
+    """The answers to graphs of one structure that are asked the same, by matrices (see `columns`), and the rows that go one by
+    one: those with attributes, Betas that are drawn, overrides, or evidence of probability zero."""
+    groups, left = compiler.structures(b)
+    alone = set(np.flatnonzero(np.asarray(pc.is_null(b.column("nodes")))).tolist())
+    for name, credences in (("nodes", ("base",)), ("relations", ("strength", "sensitivity", "false_pass"))):
+        flat = b.column(name).flatten()
+        odd = np.asarray(pc.is_valid(pc.struct_field(flat, "attributes")))
+        for c in credences if drawn else ():
+            odd = odd | compiler.credences(pc.struct_field(flat, c))[3]
+        alone |= set(np.repeat(np.arange(len(b)), np.asarray(b.column(name).value_lengths().fill_null(0)))[odd].tolist())
+    code = np.asarray(b.column("asked").dictionary_encode().indices)
+    found: list[pa.RecordBatch] = []
+    for alike in groups:
+        parts: dict[int, list[int]] = {}
+        for i in alike:
+            if i in alone:
+                left.append(i)
+            else:
+                parts.setdefault(int(code[i]), []).append(i)
+        for rows in parts.values():
+            got = None if len(rows) < compiler.ALIKE else answered(b, rows, question, compiled)
+            if got is None:
+                left += rows
+                continue
+            fine, answers = got
+            left += np.array(rows)[~fine].tolist()
+            ids = b.column("graph_id").take(pa.array(np.array(rows)[fine]))
+            for fixed in answers:
+                columns_ = [ids if f.name == "graph_id" else pa.array(fixed["point"][fine]) if f.name == "point" and isinstance(fixed["point"], np.ndarray) else pa.array([fixed[f.name]] * len(ids), f.type) for f in out]
+                found.append(pa.RecordBatch.from_arrays(columns_, schema=out))
+    return found, left
+
+
+def answered(b: pa.RecordBatch, rows: list[int], question, compiled: pa.Schema) -> tuple[np.ndarray, list[dict]] | None:
+    """Which rows have an answer to all of their questions, and a row of ANSWER for each question, whose point is an array."""
+    (row,) = compiler.records(b.slice(rows[0], 1).to_struct_array())
+    ready = Ready(row)
+    group, fine, out = None, np.ones(len(rows), bool), []
+    for q in row["questions"]:
+        q = {**q, **{k: dict(q[k] or ()) for k in QUESTION if k != "kind"}}
+        asking = question(ready, q)
+        try:
+            requests = next(asking)
+        except StopIteration as end:  # what no number changes
+            out.append({"question": q["question"], "kind": q["kind"], **end.value[0]})
+            continue
+        if any(network is not ready.network for network, *_ in requests):
+            return None
+        if group is None:
+            (nets,) = compiler.assembled(b, [rows], compiled)
+            groups = columns.table(nets.column("vars")).groups
+            if len(groups) != 1 or len(groups[0].rows) != len(rows):
+                return None
+            group = groups[0]
+        masses = [group.mass(seen, fixed) for _, seen, fixed, _ in requests]
+        if any(m is None for m in masses):
+            return None
+        below, above = (np.broadcast_to(x, len(rows)) for x in (masses[0], masses[1] if len(masses) > 1 else 0.0))
+        fine &= below > 0
+        point = np.minimum(1.0, np.divide(above, below, out=np.zeros(len(rows)), where=below > 0))
+        out.append({**dict.fromkeys(("q05", "q50", "q95", "mean_over_draws", "draws", "code", "detail")), "question": q["question"], "kind": q["kind"], "point": point})
+    return fine, out
 
 
 def answer_json(answers: DataFrame) -> DataFrame:

@@ -124,3 +124,46 @@ def test_tables_of_questions(spark):
     assert rows[1, 2]["code"] == rows[7, 1]["code"] == "unknown-node"
     out = {(r["graph_id"], r["question"]): json.loads(r["json"]) for r in answers.answer_json(answers.ask(nodes, relations, questions, draws=100)).collect()}
     assert out[1, 1] == {"point": 0.75} and set(out[0, 1]) == {"point", "band", "mean_over_draws", "draws"}
+
+
+def test_graphs_of_one_structure_are_answered_as_each_is_alone(spark, monkeypatch):
+    """Also with evidence that is impossible in some of them, unknown nodes, overrides and Betas."""
+    rng = random.Random(6)
+    number = lambda k: rng.choice([0.0, 1.0, rng.random()]) if k % 5 == 0 else rng.random()
+    beta = {"p": None, "alpha": 2.0, "beta": 3.0}
+    graphs = []
+    for k in range(90):
+        nodes = [node(f"n{i}", number(k)) for i in range(4)] + [node("t", beta if k % 9 == 0 else number(k))]
+        if k % 30 == 7:
+            nodes[0]["attributes"] = json.dumps({"observed": True})
+        graphs.append(graph(nodes, [relation(f"r{i}", rng.choice(["requires", "supports", "refutes"]), f"n{i}", "t", number(k)) for i in range(4)] + ([relation("x", "exclusive", "n0", "n1")] if k % 2 else [])))
+    nodes, relations = tables(spark, graphs)
+    asked = [("marginal", {"t": True}, {}, {}, {}), ("conditional", {"n1": True}, {"t": True, "n0": False}, {}, {}), ("intervene", {"t": True}, {}, {"n2": False}, {}), ("joint", {"n9": True, "t": True}, {}, {}, {})]
+    rows = [(k, i, *q) for k in range(90) for i, q in enumerate([*asked, *([("marginal", {"t": True}, {}, {}, {"base:n0": 0.5})] if k % 10 == 3 else [])])]
+    questions = spark.createDataFrame(rows, "graph_id long, question long, kind string, target map<string,boolean>, given map<string,boolean>, do map<string,boolean>, overrides map<string,double>")
+    for observed in (False, True):
+        got = {(r["graph_id"], r["question"]): r for r in answers.ask(nodes, relations, questions.coalesce(1), observed, draws=20).collect()}
+        assert got.keys() == {r[:2] for r in rows}
+        for k, i, *q in rows:
+            want = ask(graphs[k], *q, observed=observed, draws=20)
+            have = got[k, i].asDict()
+            assert have["code"] == want["code"] and have["kind"] == q[0] and (have["detail"] or "")[:40] == (want["detail"] or "")[:40]
+            for c in ("point", "q05", "q50", "q95", "mean_over_draws", "draws"):
+                assert have[c] is want[c] is None or have[c] == pytest.approx(want[c], rel=1e-9, abs=1e-15)
+    assert len({r["code"] for r in got.values()}) >= 3
+
+
+def test_a_structure_is_asked_once(spark):
+    """Before, every question of every graph was a generator of its own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    import pyarrow as pa
+
+    schema = lambda s: to_arrow_schema(spark.createDataFrame([], f"graph_id long, {s}").schema)
+    listed = lambda kind: "array<struct<" + ",".join(f"{k}:{v}" for k, v in kind.items()) + ">>"
+    one = {"question": 1, "kind": "marginal", "target": [("t", True)], "given": None, "do": None, "overrides": None}
+    rows = [{"graph_id": k, "questions": [one], "asked": "1", **graph([{**node("a", k / 100), "ord": 0}, {**node("t", 0.5), "ord": 1}], [{**relation("r", "requires", "a", "t", 0.5), "ord": 0}])} for k in range(100)]
+    batch = pa.RecordBatch.from_pylist(rows, schema(f"questions {listed({'question': 'long', **answers.QUESTION})}, nodes {listed(compiler.NODE)}, relations {listed(compiler.RELATION)}, asked string"))
+    calls = []
+    found, left = answers.together(batch, lambda *x: calls.append(1) or answers.question(*x, False, 0, 0), False, schema(answers.ANSWER), schema(f"vars {compiler.VARS}, carried array<string>, errors {compiler.ERRORS}"))
+    assert len(calls) == 1 and not left and [r["point"] for x in found for r in x.to_pylist()] == pytest.approx([0.5 * (1 - 0.5 * (1 - k / 100)) for k in range(100)])
